@@ -128,3 +128,193 @@ SELECT ['0-12', '13-24', '25-48', '49-72'][b + 1] AS tenure_bin, {R('AVG(churn)'
        CAST(COUNT(*) AS BIGINT) AS count, b AS tenure_bin_index
 FROM (SELECT {TENURE_INDEX} AS b, churn FROM subscribers) t
 WHERE b IS NOT NULL GROUP BY b ORDER BY b""")
+
+
+# --- given clusters, profiles, rule-scored views -----------------------------
+def _mode(col: str, out: str) -> str:
+    return f"""{out}_m AS (
+  SELECT cluster_id, {col} AS {out} FROM (
+    SELECT cluster_id, {col}, row_number() OVER (PARTITION BY cluster_id ORDER BY COUNT(*) DESC, {col}) AS rn
+    FROM clustered WHERE {col} IS NOT NULL GROUP BY cluster_id, {col}) WHERE rn = 1)"""
+
+
+def _share(col: str) -> str:
+    return f"AVG(CASE WHEN {col} = 'Yes' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)"
+
+
+PROFILES = f"""{SUBSCRIBERS},
+clustered AS (SELECT *, CAST(cust_key % 4 AS INTEGER) AS cluster_id FROM subscribers),
+stats AS (
+  SELECT cluster_id, CAST(COUNT(*) AS BIGINT) AS count,
+         AVG(tenure) AS avg_tenure, AVG(monthly_charges) AS avg_monthly_charges,
+         AVG(total_charges) AS avg_total_charges, AVG(CAST(churn AS DOUBLE)) AS churn_rate,
+         AVG(CAST(senior_citizen AS DOUBLE)) AS pct_senior, {_share('partner')} AS pct_partner,
+         {_share('dependents')} AS pct_dependents, {_share('paperless_billing')} AS pct_paperless
+  FROM clustered GROUP BY cluster_id),
+g AS (SELECT AVG(tenure) AS g_tenure, AVG(monthly_charges) AS g_monthly FROM clustered),
+{_mode('contract', 'top_contract')},
+{_mode('internet_service', 'top_internet')},
+{_mode('payment_method', 'top_payment')},
+named AS (
+  SELECT s.*, CAST(s.count AS DOUBLE) / SUM(s.count) OVER () AS pct_of_customers,
+         c.top_contract, i.top_internet, p.top_payment,
+         printf('Avg tenure %.1f months', s.avg_tenure) || ' | ' ||
+         printf('Avg monthly charges $%.2f', s.avg_monthly_charges) || ' | ' ||
+         'Most common contract: ' || c.top_contract || ' | ' ||
+         'Most common internet: ' || i.top_internet || ' | ' ||
+         printf('Churn rate %.1f%%', 100 * s.churn_rate) || ' | ' ||
+         printf('Senior citizens %.1f%%', 100 * s.pct_senior) || ' | ' ||
+         printf('Have partner %.1f%%', 100 * s.pct_partner) AS characteristics,
+         (CASE WHEN s.avg_tenure < g.g_tenure * 0.7 THEN 'New' WHEN s.avg_tenure > g.g_tenure * 1.3 THEN 'Loyal' ELSE 'Steady' END)
+         || ' ' ||
+         (CASE WHEN s.avg_monthly_charges > g.g_monthly * 1.15 THEN 'High-Spend'
+               WHEN s.avg_monthly_charges < g.g_monthly * 0.85 THEN 'Value' ELSE 'Mid-Spend' END)
+         || ' ' ||
+         (CASE WHEN s.churn_rate >= 0.40 THEN 'High-Risk' WHEN s.churn_rate <= 0.15 THEN 'Low-Risk' ELSE 'Moderate-Risk' END)
+         || ' Customers' AS base_name
+  FROM stats s CROSS JOIN g
+  LEFT JOIN top_contract_m c USING (cluster_id) LEFT JOIN top_internet_m i USING (cluster_id)
+  LEFT JOIN top_payment_m p USING (cluster_id)),
+profiles AS (
+  SELECT *, CASE WHEN COUNT(*) OVER (PARTITION BY base_name) > 1
+                 THEN base_name || ' (C' || CAST(cluster_id AS VARCHAR) || ')' ELSE base_name END AS persona_name
+  FROM named)"""
+
+
+def with_profiles(body: str) -> str:
+    return f"WITH {PROFILES}\n{body}"
+
+
+PROFILE_COLS = f"""cluster_id, count, {R('pct_of_customers', 6)} AS pct_of_customers, {R('avg_tenure', 6)} AS avg_tenure,
+       {R('avg_monthly_charges', 6)} AS avg_monthly_charges, {R('avg_total_charges', 6)} AS avg_total_charges,
+       {R('churn_rate', 6)} AS churn_rate, {R('pct_senior', 6)} AS pct_senior, {R('pct_partner', 6)} AS pct_partner,
+       {R('pct_dependents', 6)} AS pct_dependents, top_contract, top_internet, top_payment,
+       {R('pct_paperless', 6)} AS pct_paperless, characteristics, persona_name"""
+
+ORACLE["C1_cluster_profiles"] = with_profiles(f"SELECT {PROFILE_COLS} FROM profiles ORDER BY cluster_id")
+ORACLE["C2_characteristics"] = with_profiles("SELECT cluster_id, characteristics FROM profiles")
+ORACLE["C3_persona_name"] = with_profiles("SELECT cluster_id, persona_name FROM profiles")
+ORACLE["C5_persona_lookup"] = with_profiles(f"""
+SELECT cluster_id, persona_name, characteristics, count, {R('churn_rate', 6)} AS churn_rate,
+       {R('avg_tenure', 6)} AS avg_tenure, {R('avg_monthly_charges', 6)} AS avg_monthly_charges FROM profiles""")
+ORACLE["C6_split_characteristics"] = with_profiles("""
+SELECT cluster_id, CAST(pos - 1 AS INTEGER) AS position, statement
+FROM (SELECT cluster_id, unnest(string_split(characteristics, ' | ')) AS statement,
+             unnest(range(1, len(string_split(characteristics, ' | ')) + 1)) AS pos
+      FROM profiles WHERE characteristics <> '')""")
+
+
+def _js_round1(x: str) -> str:
+    """JavaScript toFixed(1) then Number: nearest tenth, exact ties away from zero."""
+    return f"""(CASE WHEN CAST(printf('%.1f', {x}) AS DOUBLE) < {x} AND {x} - CAST(printf('%.1f', {x}) AS DOUBLE) = 0.05
+                  THEN CAST(printf('%.1f', {x}) AS DOUBLE) + 0.1 ELSE CAST(printf('%.1f', {x}) AS DOUBLE) END)"""
+
+
+ORACLE["C7_persona_display"] = with_profiles(f"""
+SELECT cluster_id, persona_name, {_js_round1('churn_rate * 100')} AS churn_pct,
+       {_js_round1('pct_of_customers * 100')} AS share_pct, churn_rate >= 0.3 AS high_churn FROM profiles""")
+
+RULE_SCORED = f"""{SUBSCRIBERS},
+scored AS (
+  SELECT *, CAST(12 AS DOUBLE) / (CAST(12 AS DOUBLE) + tenure) AS score,
+         CAST(CAST(12 AS DOUBLE) / (CAST(12 AS DOUBLE) + tenure) > 0.5 AS INTEGER) AS prediction, churn AS label
+  FROM subscribers)"""
+
+CM = """SELECT CAST(SUM(CASE WHEN label = 0 AND prediction = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
+       CAST(SUM(CASE WHEN label = 0 AND prediction = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+       CAST(SUM(CASE WHEN label = 1 AND prediction = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+       CAST(SUM(CASE WHEN label = 1 AND prediction = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp FROM scored"""
+
+
+def _d(num: str, den: str) -> str:
+    return f"(CASE WHEN ({den}) = 0 THEN 0.0 ELSE CAST({num} AS DOUBLE) / ({den}) END)"
+
+
+ORACLE["E1_confusion_matrix"] = f"WITH {RULE_SCORED}\n{CM}"
+ORACLE["E2_binary_metrics"] = f"""WITH {RULE_SCORED}, cm AS ({CM})
+SELECT {_d('tp + tn', 'tp + tn + fp + fn')} AS accuracy, {_d('tp', 'tp + fp')} AS precision,
+       {_d('tp', 'tp + fn')} AS recall, {_d('2 * tp', '2 * tp + fp + fn')} AS f1 FROM cm"""
+
+SCORE_COUNTS = """counts AS (
+  SELECT CAST(score AS DOUBLE) AS threshold, SUM(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS pos,
+         SUM(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS neg FROM scored GROUP BY score)"""
+
+ORACLE["E3_roc_auc"] = f"""WITH {RULE_SCORED}, {SCORE_COUNTS},
+run AS (SELECT *, SUM(neg) OVER (ORDER BY threshold ROWS UNBOUNDED PRECEDING) AS cum_neg FROM counts)
+SELECT CASE WHEN SUM(pos) = 0 OR SUM(neg) = 0 THEN NULL
+            ELSE CAST(SUM(pos * (cum_neg - neg)) + SUM(pos * neg) * 0.5 AS DOUBLE) / (SUM(pos) * SUM(neg)) END AS roc_auc
+FROM run"""
+
+ORACLE["E4_roc_curve"] = f"""WITH {RULE_SCORED}, {SCORE_COUNTS},
+run AS (SELECT *, SUM(pos) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS cum_pos,
+               SUM(neg) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS cum_neg FROM counts),
+tot AS (SELECT SUM(pos) AS p, SUM(neg) AS n FROM counts)
+SELECT CAST('inf' AS DOUBLE) AS threshold, 0.0 AS fpr, 0.0 AS tpr, 0.0 AS area
+UNION ALL
+SELECT threshold, {_d('cum_neg', 'n')}, {_d('cum_pos', 'p')}, {_d('neg', 'n')} * {_d('2 * cum_pos - pos', '2 * p')}
+FROM run, tot"""
+
+ORACLE["E5_classification_report"] = f"""WITH {RULE_SCORED}, cm AS ({CM}),
+per AS (
+  SELECT 0 AS position, 'No Churn' AS label, {_d('tn', 'tn + fn')} AS precision, {_d('tn', 'tn + fp')} AS recall,
+         {_d('2 * tn', '2 * tn + fn + fp')} AS f1, tn + fp AS support, tn + fp + fn + tp AS n FROM cm
+  UNION ALL
+  SELECT 1, 'Churn', {_d('tp', 'tp + fp')}, {_d('tp', 'tp + fn')}, {_d('2 * tp', '2 * tp + fp + fn')}, tp + fn,
+         tn + fp + fn + tp FROM cm)
+SELECT position, label, precision, recall, f1, CAST(support AS BIGINT) AS support FROM per
+UNION ALL
+SELECT 2, 'accuracy', NULL, NULL, {_d('tp + tn', 'tp + tn + fp + fn')}, CAST(tp + tn + fp + fn AS BIGINT) FROM cm
+UNION ALL
+SELECT 3, 'macro avg', a.precision * 0.5 + b.precision * 0.5, a.recall * 0.5 + b.recall * 0.5, a.f1 * 0.5 + b.f1 * 0.5,
+       CAST(a.n AS BIGINT) FROM per a, per b WHERE a.position = 0 AND b.position = 1
+UNION ALL
+SELECT 4, 'weighted avg', a.precision * {_d('a.support', 'a.n')} + b.precision * {_d('b.support', 'a.n')},
+       a.recall * {_d('a.support', 'a.n')} + b.recall * {_d('b.support', 'a.n')},
+       a.f1 * {_d('a.support', 'a.n')} + b.f1 * {_d('b.support', 'a.n')}, CAST(a.n AS BIGINT)
+FROM per a, per b WHERE a.position = 0 AND b.position = 1"""
+
+DASHBOARD_SCORED = f"""{PROFILES},
+dash AS (
+  SELECT c.customer_id, c.tenure, c.contract, c.monthly_charges, c.internet_service,
+         CASE WHEN c.churn = 1 THEN 'Yes' WHEN c.churn = 0 THEN 'No' END AS churn,
+         CASE WHEN c.p >= 0.66 THEN 'High' WHEN c.p >= 0.33 THEN 'Medium' WHEN c.p IS NOT NULL THEN 'Low' END AS risk_level,
+         COALESCE(pr.persona_name, 'Cluster ' || CAST(c.cluster_id AS VARCHAR)) AS persona_name,
+         c.cluster_id, c.p AS churn_probability
+  FROM (SELECT *, CAST(12 AS DOUBLE) / (CAST(12 AS DOUBLE) + tenure) AS p FROM clustered) c
+  LEFT JOIN profiles pr USING (cluster_id))"""
+
+
+def with_dash(body: str) -> str:
+    return f"WITH {DASHBOARD_SCORED}\n{body}"
+
+
+ORACLE["R1_risk_level"] = with_dash("SELECT customer_id, churn_probability, risk_level FROM dash")
+ORACLE["R3_label_text"] = with_subscribers(
+    "SELECT cust_key, CASE WHEN churn = 1 THEN 'Yes' WHEN churn = 0 THEN 'No' END AS churn FROM subscribers")
+ORACLE["R4_attach_persona"] = with_dash("SELECT customer_id, cluster_id, persona_name FROM dash")
+ORACLE["Q1_kpi_summary"] = with_dash(f"""
+SELECT CAST(COUNT(*) AS BIGINT) AS total_customers,
+       CAST(SUM(CASE WHEN churn = 'Yes' THEN 1 ELSE 0 END) AS BIGINT) AS churned_customers,
+       {R(_d("SUM(CASE WHEN churn = 'Yes' THEN 1 ELSE 0 END)", 'COUNT(*)'), 6)} AS churn_rate,
+       CAST(SUM(CASE WHEN risk_level = 'High' THEN 1 ELSE 0 END) AS BIGINT) AS high_risk_count,
+       4 AS persona_count, {R('AVG(tenure)', 6)} AS avg_tenure, {R('AVG(monthly_charges)', 6)} AS avg_monthly_charges
+FROM dash""")
+ORACLE["Q7_persona_distribution"] = with_profiles(
+    f"SELECT persona_name AS persona, count, {R('churn_rate', 4)} AS churn_rate, cluster_id FROM profiles ORDER BY cluster_id")
+ORACLE["Q8_percent_of_rate"] = with_subscribers(f"""
+SELECT contract, {_js_round1(R('AVG(churn)', 4) + ' * 100')} AS churn_pct,
+       {R('CAST(COUNT(*) AS DOUBLE) / SUM(COUNT(*)) OVER ()', 6)} AS share
+FROM subscribers WHERE contract IS NOT NULL GROUP BY contract""")
+ORACLE["Q9_search_customers"] = with_dash(
+    "SELECT customer_id FROM dash WHERE regexp_matches(customer_id, 'CUSTOMER#0000001.5', 'i')")
+ORACLE["Q10_filter_contract"] = with_dash("SELECT customer_id, contract FROM dash WHERE contract = 'One year'")
+ORACLE["Q11_filter_churn"] = with_dash("SELECT customer_id, churn FROM dash WHERE churn = 'Yes'")
+ORACLE["Q12_filter_risk"] = with_dash("SELECT customer_id, risk_level FROM dash WHERE lower(risk_level) = 'high'")
+ORACLE["Q13_filter_persona"] = with_dash(
+    "SELECT customer_id, persona_name FROM dash WHERE regexp_matches(persona_name, 'steady|loyal', 'i')")
+LISTING = """FROM dash WHERE regexp_matches(customer_id, 'customer', 'i') AND contract = 'Month-to-month' AND churn = 'No'"""
+ORACLE["Q14_list_customers"] = with_dash(f"""
+SELECT customer_id, tenure, contract, monthly_charges, internet_service, churn, risk_level, persona_name, cluster_id,
+       churn_probability {LISTING} ORDER BY customer_id LIMIT 20 OFFSET 20""")
+ORACLE["Q15_page_count"] = with_dash(f"""
+SELECT CAST(COUNT(*) AS BIGINT) AS total, CAST(GREATEST(1, CEIL(COUNT(*) / 20.0)) AS BIGINT) AS page_count {LISTING}""")

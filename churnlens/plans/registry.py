@@ -98,3 +98,176 @@ def q5(spark, sf_dir):
 @register("Q6_churn_by_tenure")
 def q6(spark, sf_dir):
     return Q.churn_by_tenure(cleaned(spark, sf_dir))
+
+
+# --- shared derived views ----------------------------------------------------
+from churnlens.functions.columns import label_text  # noqa: E402
+from churnlens.functions.rounding import round_exact  # noqa: E402
+from churnlens.operators import metrics as E  # noqa: E402
+from churnlens.operators import personas as P  # noqa: E402
+from churnlens.operators import scoring as R  # noqa: E402
+
+GIVEN_K = 4  # cluster count of the given-label views (cust_key mod 4)
+SEARCH_TEXT = "CUSTOMER#0000001.5"  # regex: '.' is any character, case-insensitive
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Double columns rounded (Python semantics) so engine summation order cannot show."""
+    dbl = {f.name for f in df.schema.fields if f.dataType.typeName() == "double"}
+    return df.select([round_exact(F.col(c), digits).alias(c) if c in dbl else F.col(c) for c in df.columns])
+
+
+def rule_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned rows with a deterministic stand-in score 12 / (12 + tenure) and class score > 0.5."""
+    df = cleaned(spark, sf_dir)
+    score = F.lit(12.0) / (F.lit(12.0) + F.col("tenure"))
+    return df.withColumns({"score": score, "prediction": (score > 0.5).cast("int"), "label": F.col("churn")})
+
+
+def given_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned rows with given cluster labels (cust_key mod 4) for the persona checks."""
+    return cleaned(spark, sf_dir).withColumn("cluster_id", (F.col("cust_key") % GIVEN_K).cast("int"))
+
+
+def given_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.cluster_profiles(given_clusters(spark, sf_dir))
+
+
+def dashboard_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored customer table built from the rule score and the given clusters."""
+    df = given_clusters(spark, sf_dir)
+    lookup = P.persona_lookup(P.cluster_profiles(df))
+    scored = R.with_risk_level(df.withColumn("churn_probability", F.lit(12.0) / (F.lit(12.0) + F.col("tenure"))))
+    scored = R.attach_persona(scored, lookup, known_rows=GIVEN_K)
+    return scored.withColumn("churn", label_text("churn")).select(*Q.LISTING_COLUMNS)
+
+
+# --- personas ----------------------------------------------------------------
+@register("C1_cluster_profiles")
+def c1(spark, sf_dir):
+    return rounded(given_profiles(spark, sf_dir))
+
+
+@register("C2_characteristics")
+def c2(spark, sf_dir):
+    return given_profiles(spark, sf_dir).select("cluster_id", "characteristics")
+
+
+@register("C3_persona_name")
+def c3(spark, sf_dir):
+    return given_profiles(spark, sf_dir).select("cluster_id", "persona_name")
+
+
+@register("C5_persona_lookup")
+def c5(spark, sf_dir):
+    return rounded(P.persona_lookup(given_profiles(spark, sf_dir)))
+
+
+@register("C6_split_characteristics")
+def c6(spark, sf_dir):
+    return P.split_characteristics(given_profiles(spark, sf_dir))
+
+
+@register("C7_persona_display")
+def c7(spark, sf_dir):
+    return P.persona_display(given_profiles(spark, sf_dir))
+
+
+# --- evaluation ----------------------------------------------------------------
+@register("E1_confusion_matrix")
+def e1(spark, sf_dir):
+    return E.confusion_matrix(rule_scored(spark, sf_dir))
+
+
+@register("E2_binary_metrics")
+def e2(spark, sf_dir):
+    return E.binary_metrics(rule_scored(spark, sf_dir))
+
+
+@register("E3_roc_auc")
+def e3(spark, sf_dir):
+    return E.roc_auc(rule_scored(spark, sf_dir))
+
+
+@register("E4_roc_curve")
+def e4(spark, sf_dir):
+    return E.roc_curve(rule_scored(spark, sf_dir))
+
+
+@register("E5_classification_report")
+def e5(spark, sf_dir):
+    return E.classification_report(rule_scored(spark, sf_dir))
+
+
+# --- scoring -------------------------------------------------------------------
+@register("R1_risk_level")
+def r1(spark, sf_dir):
+    return dashboard_scored(spark, sf_dir).select("customer_id", "churn_probability", "risk_level")
+
+
+@register("R3_label_text")
+def r3(spark, sf_dir):
+    return R.with_label_text(cleaned(spark, sf_dir).select("cust_key", "churn"))
+
+
+@register("R4_attach_persona")
+def r4(spark, sf_dir):
+    return dashboard_scored(spark, sf_dir).select("customer_id", "cluster_id", "persona_name")
+
+
+# --- dashboard over the scored table -------------------------------------------
+@register("Q1_kpi_summary")
+def q1(spark, sf_dir):
+    return rounded(Q.kpi_summary(dashboard_scored(spark, sf_dir), persona_count=GIVEN_K))
+
+
+@register("Q7_persona_distribution")
+def q7(spark, sf_dir):
+    return Q.persona_distribution(given_profiles(spark, sf_dir))
+
+
+@register("Q8_percent_of_rate")
+def q8(spark, sf_dir):
+    by_contract = Q.churn_by_contract(cleaned(spark, sf_dir))
+    return Q.share_of_total(by_contract, "count").select(
+        "contract", Q.percent_of_rate("churn_rate").alias("churn_pct"), round_exact(F.col("share"), 6).alias("share"))
+
+
+@register("Q9_search_customers")
+def q9(spark, sf_dir):
+    return Q.search_customers(dashboard_scored(spark, sf_dir), SEARCH_TEXT).select("customer_id")
+
+
+@register("Q10_filter_contract")
+def q10(spark, sf_dir):
+    return Q.filter_contract(dashboard_scored(spark, sf_dir), "One year").select("customer_id", "contract")
+
+
+@register("Q11_filter_churn")
+def q11(spark, sf_dir):
+    return Q.filter_churn(dashboard_scored(spark, sf_dir), " yes ").select("customer_id", "churn")
+
+
+@register("Q12_filter_risk")
+def q12(spark, sf_dir):
+    return Q.filter_risk(dashboard_scored(spark, sf_dir), "HIGH ").select("customer_id", "risk_level")
+
+
+@register("Q13_filter_persona")
+def q13(spark, sf_dir):
+    return Q.filter_persona(dashboard_scored(spark, sf_dir), "steady|loyal").select("customer_id", "persona_name")
+
+
+LISTING_FILTERS = dict(contract="Month-to-month", churn="no", search="customer")
+
+
+@register("Q14_list_customers")
+def q14(spark, sf_dir):
+    rows, _ = Q.list_customers(dashboard_scored(spark, sf_dir), page=2, page_size=20, **LISTING_FILTERS)
+    return rows
+
+
+@register("Q15_page_count")
+def q15(spark, sf_dir):
+    _, total = Q.list_customers(dashboard_scored(spark, sf_dir), page=1, page_size=20, **LISTING_FILTERS)
+    return total.select("total", Q.page_count("total", 20).alias("page_count"))
