@@ -30,7 +30,8 @@ SEPARATOR = " | "
 HIGH_CHURN_DISPLAY = 0.3  # UI flags a persona with churn rate >= 0.3
 # ---------------------------------------------------------------------------
 
-_WHOLE = Window.partitionBy()  # over the k profile rows
+def _whole():
+    return Window.partitionBy()  # over the k profile rows
 
 
 def _yes_share(c: str) -> Column:
@@ -59,9 +60,9 @@ def cluster_profiles(df: DataFrame, cluster_col: str = "cluster_id", label_col:
     )
     # Global means from the k partial sums: no second pass over the rows.
     with_global = stats.withColumns({
-        "pct_of_customers": F.col("count") / F.sum("count").over(_WHOLE),
-        "_g_tenure": F.sum("_sum_tenure").over(_WHOLE) / F.sum("_n_tenure").over(_WHOLE),
-        "_g_monthly": F.sum("_sum_monthly").over(_WHOLE) / F.sum("_n_monthly").over(_WHOLE),
+        "pct_of_customers": F.col("count") / F.sum("count").over(_whole()),
+        "_g_tenure": F.sum("_sum_tenure").over(_whole()) / F.sum("_n_tenure").over(_whole()),
+        "_g_monthly": F.sum("_sum_monthly").over(_whole()) / F.sum("_n_monthly").over(_whole()),
     })
     named = with_global.withColumns({
         "characteristics": characteristics(),

@@ -318,3 +318,122 @@ SELECT customer_id, tenure, contract, monthly_charges, internet_service, churn,
        churn_probability {LISTING} ORDER BY customer_id LIMIT 20 OFFSET 20""")
 ORACLE["Q15_page_count"] = with_dash(f"""
 SELECT CAST(COUNT(*) AS BIGINT) AS total, CAST(GREATEST(1, CEIL(COUNT(*) / 20.0)) AS BIGINT) AS page_count {LISTING}""")
+
+
+# --- features ----------------------------------------------------------------------
+CAT_COLS = ["partner", "dependents", "paperless_billing", "contract", "internet_service", "payment_method"]
+N_NUMERIC = 4
+
+CATS = "cats AS (\n  " + "\n  UNION ALL ".join(
+    f"SELECT cust_key, '{c}' AS col, {i} AS ord, {c} AS val FROM subscribers" for i, c in enumerate(CAT_COLS)) + ")"
+
+SLOTS_BODY = f"""dist AS (SELECT DISTINCT col, ord, val FROM cats WHERE val IS NOT NULL),
+ranked AS (SELECT col, ord, val, row_number() OVER (PARTITION BY col ORDER BY val) - 1 AS r,
+                  COUNT(*) OVER (PARTITION BY col) AS card FROM dist),
+offs AS (SELECT col, COALESCE(SUM(card) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+         FROM (SELECT DISTINCT col, ord, card FROM ranked)),
+slot_names AS (SELECT CAST({N_NUMERIC} + o.off + r.r AS INTEGER) AS feature_index, r.col || '_' || r.val AS feature,
+                      r.col, r.val FROM ranked r JOIN offs o USING (col))"""
+SLOTS = f"{CATS},\n{SLOTS_BODY}"
+
+ORACLE["F1_impute_median"] = f"""WITH {SUBSCRIBERS_RAW},
+parsed AS (SELECT cust_key, {PARSED} AS total_num FROM subscribers_raw)
+SELECT cust_key, COALESCE(total_num, (SELECT median(total_num) FROM parsed)) AS total_charges FROM parsed"""
+
+ORACLE["F2_impute_most_frequent"] = with_subscribers(f"""{CATS.replace('cats AS (', ', cats AS (', 1)}
+SELECT col AS "column", val AS "mode" FROM (
+  SELECT col, val, row_number() OVER (PARTITION BY col ORDER BY COUNT(*) DESC, val) AS rn
+  FROM cats WHERE val IS NOT NULL GROUP BY col, val) WHERE rn = 1""")
+
+ORACLE["F3_one_hot"] = with_subscribers(f""", {SLOTS}
+SELECT c.cust_key, s.feature_index, s.feature FROM cats c JOIN slot_names s ON c.col = s.col AND c.val = s.val""")
+
+NUMERIC_NAMES = "SELECT 0 AS feature_index, 'senior_citizen' AS feature UNION ALL SELECT 1, 'tenure' UNION ALL SELECT 2, 'monthly_charges' UNION ALL SELECT 3, 'total_charges'"
+
+ORACLE["F4_feature_names"] = with_subscribers(f""", {SLOTS}
+{NUMERIC_NAMES} UNION ALL SELECT feature_index, feature FROM slot_names""")
+
+ORACLE["F6_standardize"] = with_subscribers(f""", {SLOTS},
+slot_x AS (SELECT s.feature_index, s.feature, CASE WHEN c.val = s.val THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS x
+           FROM cats c JOIN slot_names s ON c.col = s.col),
+num_x AS (SELECT 0 AS feature_index, 'senior_citizen' AS feature, CAST(senior_citizen AS DOUBLE) AS x FROM subscribers
+          UNION ALL SELECT 1, 'tenure', CAST(tenure AS DOUBLE) FROM subscribers
+          UNION ALL SELECT 2, 'monthly_charges', monthly_charges FROM subscribers
+          UNION ALL SELECT 3, 'total_charges', total_charges FROM subscribers)
+SELECT feature_index, feature, {R('AVG(x)', 6)} AS mean, {R('STDDEV_POP(x)', 6)} AS std
+FROM (SELECT * FROM slot_x UNION ALL SELECT * FROM num_x) GROUP BY feature_index, feature""")
+
+ORACLE["F7_stratified_split"] = with_subscribers("""
+SELECT cust_key, churn, rn <= CEIL(CAST(0.2 AS DOUBLE) * n_c) AS is_test FROM (
+  SELECT cust_key, churn, row_number() OVER (PARTITION BY churn ORDER BY md5(customer_id || ':42'), customer_id) AS rn,
+         COUNT(*) OVER (PARTITION BY churn) AS n_c FROM subscribers)""")
+
+ORACLE["F8_class_weights"] = with_subscribers("""
+SELECT churn AS label, COUNT(*) AS count,
+       CAST(SUM(COUNT(*)) OVER () AS DOUBLE) / (COUNT(*) OVER () * COUNT(*)) AS weight
+FROM subscribers GROUP BY churn""")
+
+ORACLE["M2_model_metadata"] = with_subscribers(f""", {SLOTS},
+split AS (SELECT rn <= CEIL(CAST(0.2 AS DOUBLE) * n_c) AS is_test FROM (
+  SELECT row_number() OVER (PARTITION BY churn ORDER BY md5(customer_id || ':42'), customer_id) AS rn,
+         COUNT(*) OVER (PARTITION BY churn) AS n_c FROM subscribers))
+SELECT CAST(SUM(CASE WHEN NOT is_test THEN 1 ELSE 0 END) AS BIGINT) AS n_train,
+       CAST(SUM(CASE WHEN is_test THEN 1 ELSE 0 END) AS BIGINT) AS n_test,
+       CAST((SELECT COUNT(*) FROM slot_names) + {N_NUMERIC} AS INTEGER) AS n_features, 42 AS random_state,
+       CAST(0.2 AS DOUBLE) AS test_size, 8 AS max_depth, 20 AS min_samples_leaf FROM split""")
+
+
+# --- root Gini scan and drivers ------------------------------------------------------
+def _gini(a1: str, a0: str) -> str:
+    s = f"({a1} + {a0})"
+    return (f"(CASE WHEN {s} > 0 THEN CAST(1 AS DOUBLE) - ({a1} / {s}) * ({a1} / {s}) - ({a0} / {s}) * ({a0} / {s}) "
+            f"ELSE CAST(0 AS DOUBLE) END)")
+
+
+_W1 = "(CASE WHEN t1 > 0 THEN (t1 + t0) / (CAST(2 AS DOUBLE) * t1) ELSE CAST(0 AS DOUBLE) END)"
+_W0 = "(CASE WHEN t0 > 0 THEN (t1 + t0) / (CAST(2 AS DOUBLE) * t0) ELSE CAST(0 AS DOUBLE) END)"
+_L1, _L0 = f"(c1 * {_W1})", f"(c0 * {_W0})"
+_R1, _R0 = f"((t1 - c1) * {_W1})", f"((t0 - c0) * {_W0})"
+_P1, _P0 = f"(t1 * {_W1})", f"(t0 * {_W0})"
+_TOT = f"({_P1} + {_P0})"
+_GAIN = (f"{_gini(_P1, _P0)} - (({_L1} + {_L0}) / {_TOT}) * {_gini(_L1, _L0)} "
+         f"- (({_R1} + {_R0}) / {_TOT}) * {_gini(_R1, _R0)}")
+
+GAINS = f"""{CATS},
+cnt AS (SELECT col, val, CAST(SUM(CASE WHEN churn = 1 THEN 1 ELSE 0 END) AS BIGINT) AS c1,
+               CAST(SUM(CASE WHEN churn = 0 THEN 1 ELSE 0 END) AS BIGINT) AS c0
+        FROM cats c JOIN subscribers s USING (cust_key) GROUP BY col, val),
+tots AS (SELECT *, SUM(c1) OVER (PARTITION BY col) AS t1, SUM(c0) OVER (PARTITION BY col) AS t0 FROM cnt),
+gains AS (SELECT col || '_' || val AS feature, CASE WHEN {_TOT} > 0 THEN {_GAIN} ELSE CAST(0 AS DOUBLE) END AS gain
+          FROM tots WHERE val IS NOT NULL),
+imp AS (SELECT feature, CASE WHEN gain > 0 THEN gain / SUM(gain) OVER () ELSE CAST(0 AS DOUBLE) END AS importance FROM gains),
+drivers AS (SELECT feature, importance, CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank FROM imp)"""
+
+ORACLE["D4_root_gini_gain"] = with_subscribers(f", {GAINS}\nSELECT feature, {R('gain', 6)} AS gain FROM gains")
+ORACLE["D2_top_drivers"] = with_subscribers(
+    f", {GAINS}\nSELECT feature, {R('importance', 6)} AS importance, rank FROM drivers WHERE rank <= 15")
+
+
+def _js_round(x: str, d: int) -> str:
+    """JavaScript toFixed(d) then Number: nearest, exact ties away from zero."""
+    half = 0.5 / 10**d
+    step = 1.0 / 10**d
+    r = f"CAST(printf('%.{d}f', {x}) AS DOUBLE)"
+    return f"(CASE WHEN {r} < {x} AND {x} - {r} = {half} THEN {r} + {step} ELSE {r} END)"
+
+
+ORACLE["D3_driver_display"] = with_subscribers(f""", {GAINS},
+top AS (SELECT feature, {R('importance', 6)} AS importance, rank FROM drivers WHERE rank <= 10)
+SELECT rank, feature, {_js_round('importance * 100', 2)} AS importance_pct,
+       {R('importance / GREATEST(MAX(importance) OVER (), 0.0001) * 100', 6)} AS bar_width_pct,
+       rank <= 3 AS top_driver,
+       CASE WHEN length(feature) > 22 THEN substr(feature, 1, 20) || '…' ELSE feature END AS short_name
+FROM top""")
+
+ORACLE["R5_risk_factors"] = with_subscribers(f""", {GAINS}, {SLOTS_BODY},
+cand AS (SELECT c.cust_key, s.feature_index, s.feature, {R('i.importance', 6)} AS importance
+         FROM cats c JOIN slot_names s ON c.col = s.col AND c.val = s.val JOIN imp i ON i.feature = s.feature
+         WHERE i.importance > 0)
+SELECT cust_key, CAST(rn AS INTEGER) AS factor_rank, feature, importance, CAST(1 AS DOUBLE) AS value FROM (
+  SELECT *, row_number() OVER (PARTITION BY cust_key ORDER BY importance DESC, feature_index) AS rn FROM cand)
+WHERE rn <= 5""")

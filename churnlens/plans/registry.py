@@ -271,3 +271,104 @@ def q14(spark, sf_dir):
 def q15(spark, sf_dir):
     _, total = Q.list_customers(dashboard_scored(spark, sf_dir), page=1, page_size=20, **LISTING_FILTERS)
     return total.select("total", Q.page_count("total", 20).alias("page_count"))
+
+
+# --- features --------------------------------------------------------------------
+from churnlens.operators import churn as M  # noqa: E402
+from churnlens.operators import features as Fe  # noqa: E402
+
+NUMERIC = ["senior_citizen", "tenure", "monthly_charges", "total_charges"]
+CATEGORICAL = ["partner", "dependents", "paperless_billing", "contract", "internet_service", "payment_method"]
+
+
+def encoded(spark: SparkSession, sf_dir: str):
+    df = cleaned(spark, sf_dir)
+    enc = Fe.fit_encoding(df, NUMERIC, CATEGORICAL)
+    return df, enc
+
+
+def _names_col(names: list[str]):
+    return F.array(*[F.lit(n) for n in names])
+
+
+@register("F1_impute_median")
+def f1(spark, sf_dir):
+    parsed = V.parse_numeric_column(subscribers(spark, sf_dir))
+    return Fe.impute_median(parsed, ["total_charges"]).select("cust_key", "total_charges")
+
+
+@register("F2_impute_most_frequent")
+def f2(spark, sf_dir):
+    return Fe.mode_table(cleaned(spark, sf_dir), CATEGORICAL)
+
+
+@register("F3_one_hot")
+def f3(spark, sf_dir):
+    df, enc = encoded(spark, sf_dir)
+    slots = Fe.active_slots(enc.transform(df), len(NUMERIC), "cust_key")
+    return slots.select("cust_key", F.col("feature_index").cast("int").alias("feature_index"),
+                        F.element_at(_names_col(enc.names), F.col("feature_index") + 1).alias("feature"))
+
+
+@register("F4_feature_names")
+def f4(spark, sf_dir):
+    _, enc = encoded(spark, sf_dir)
+    return spark.range(1).select(F.posexplode(_names_col(enc.names)).alias("feature_index", "feature"))
+
+
+@register("F6_standardize")
+def f6(spark, sf_dir):
+    df, enc = encoded(spark, sf_dir)
+    return rounded(Fe.slot_statistics(enc.transform(df), enc.names))
+
+
+@register("F7_stratified_split")
+def f7(spark, sf_dir):
+    return Fe.stratified_split(cleaned(spark, sf_dir)).select("cust_key", "churn", "is_test")
+
+
+@register("F8_class_weights")
+def f8(spark, sf_dir):
+    return Fe.class_weights(cleaned(spark, sf_dir))
+
+
+@register("M2_model_metadata")
+def m2(spark, sf_dir):
+    df, enc = encoded(spark, sf_dir)
+    split = Fe.stratified_split(df)
+    return split.agg(F.sum((~F.col("is_test")).cast("long")).alias("n_train"),
+                     F.sum(F.col("is_test").cast("long")).alias("n_test")).select(
+        "n_train", "n_test", F.lit(len(enc.names)).alias("n_features"), F.lit(Fe.SEED).alias("random_state"),
+        F.lit(Fe.TEST_SIZE).alias("test_size"), F.lit(M.MAX_DEPTH).alias("max_depth"),
+        F.lit(M.MIN_SAMPLES_LEAF).alias("min_samples_leaf"))
+
+
+# --- drivers from the root Gini scan -------------------------------------------------
+def gain_table(spark, sf_dir):
+    return M.gain_drivers(M.root_gini_gain(cleaned(spark, sf_dir), CATEGORICAL))
+
+
+@register("D4_root_gini_gain")
+def d4(spark, sf_dir):
+    return rounded(M.root_gini_gain(cleaned(spark, sf_dir), CATEGORICAL))
+
+
+@register("D2_top_drivers")
+def d2(spark, sf_dir):
+    return M.top_drivers(gain_table(spark, sf_dir), 15)
+
+
+@register("D3_driver_display")
+def d3(spark, sf_dir):
+    return rounded(M.driver_display(M.top_drivers(gain_table(spark, sf_dir), 10)))
+
+
+@register("R5_risk_factors")
+def r5(spark, sf_dir):
+    df, enc = encoded(spark, sf_dir)
+    imp = {r["feature"]: r["importance"] for r in gain_table(spark, sf_dir).collect()}  # one row per slot
+    imps = [imp.get(n, 0.0) for n in enc.names]
+    from pyspark.ml.functions import vector_to_array
+
+    col = R.risk_factors(vector_to_array(F.col("features")), enc.names, imps, NUMERIC, 5)
+    return R.explode_factors(enc.transform(df).withColumn("risk_factors", col), "cust_key")
