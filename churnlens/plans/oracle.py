@@ -437,3 +437,42 @@ cand AS (SELECT c.cust_key, s.feature_index, s.feature, {R('i.importance', 6)} A
 SELECT cust_key, CAST(rn AS INTEGER) AS factor_rank, feature, importance, CAST(1 AS DOUBLE) AS value FROM (
   SELECT *, row_number() OVER (PARTITION BY cust_key ORDER BY importance DESC, feature_index) AS rn FROM cand)
 WHERE rn <= 5""")
+
+
+# --- embeddings: given labels and centres ------------------------------------------
+EMB = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM e),
+cen AS (SELECT label AS cid, list(mu ORDER BY d) AS c FROM (SELECT label, d, AVG(x) AS mu FROM u GROUP BY label, d)
+        GROUP BY label)"""
+
+ORACLE["K3_inertia"] = f"""WITH {EMB},
+mu AS (SELECT label, d, AVG(x) AS m FROM u GROUP BY label, d)
+SELECT {R('SUM((x - m) * (x - m))', 4)} AS inertia FROM u JOIN mu USING (label, d)"""
+
+# Pairwise statement of the squared-Euclidean silhouette (fine for the small check table).
+ORACLE["K4_silhouette"] = f"""WITH {EMB},
+pd AS (SELECT a.vec_id, a.label AS own, b.label AS other, SUM(list_distance(a.v, b.v) * list_distance(a.v, b.v)) AS tot,
+              COUNT(*) AS cnt
+       FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY a.vec_id, a.label, b.label),
+per AS (SELECT vec_id, MAX(CASE WHEN other = own THEN tot / cnt END) AS a,
+               MIN(CASE WHEN other <> own THEN tot / cnt END) AS b FROM pd GROUP BY vec_id),
+s AS (SELECT e.vec_id, CASE WHEN per.a IS NULL OR per.b IS NULL THEN 0.0 ELSE (per.b - per.a) / GREATEST(per.a, per.b) END AS s
+      FROM e LEFT JOIN per USING (vec_id))
+SELECT {R('AVG(s)', 6)} AS silhouette FROM s"""
+
+ORACLE["K6_assign_cluster"] = f"""WITH {EMB},
+dist AS (SELECT e.vec_id, e.label, cen.cid, list_distance(e.v, cen.c) AS dd FROM e CROSS JOIN cen)
+SELECT vec_id, label, CAST(cid AS INTEGER) AS cluster_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dd, cid) AS rn FROM dist) WHERE rn = 1"""
+
+# --- sinks read back ---------------------------------------------------------------
+ORACLE["S3_write_drivers"] = with_subscribers(
+    f", {GAINS}\nSELECT feature, {R('importance', 6)} AS importance, rank FROM drivers WHERE rank <= 15")
+ORACLE["S8_read_drivers"] = with_subscribers(
+    f", {GAINS}\nSELECT feature, {R('importance', 6)} AS importance, rank FROM drivers WHERE rank <= 10")
+_PROFILE_READ = f"""SELECT cluster_id, persona_name, count, {R('pct_of_customers', 6)} AS pct_of_customers,
+       {R('avg_tenure', 6)} AS avg_tenure, {R('avg_monthly_charges', 6)} AS avg_monthly_charges,
+       {R('avg_total_charges', 6)} AS avg_total_charges, {R('churn_rate', 6)} AS churn_rate, characteristics,
+       top_contract, top_internet, top_payment FROM profiles ORDER BY cluster_id"""
+ORACLE["S4_write_profiles"] = with_profiles(_PROFILE_READ)
+ORACLE["S9_read_profiles"] = with_profiles(_PROFILE_READ)

@@ -372,3 +372,162 @@ def r5(spark, sf_dir):
 
     col = R.risk_factors(vector_to_array(F.col("features")), enc.names, imps, NUMERIC, 5)
     return R.explode_factors(enc.transform(df).withColumn("risk_factors", col), "cust_key")
+
+
+# --- embeddings with given labels / centres (K3, K4, K6) -----------------------------
+from churnlens.operators import segments as K  # noqa: E402
+from churnlens.sources.readers import read_table  # noqa: E402
+
+
+@register("K3_inertia")
+def k3(spark, sf_dir):
+    return rounded(K.inertia(read_table(spark, sf_dir, "embeddings"), "embedding", "label"), 4)
+
+
+@register("K4_silhouette")
+def k4(spark, sf_dir):
+    return rounded(K.silhouette(read_table(spark, sf_dir, "embeddings"), "embedding", "label"), 6)
+
+
+@register("K6_assign_cluster")
+def k6(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings")
+    centres = K.centroids(emb, "embedding", "label")
+    return K.assign_cluster(emb, "embedding", centres).select("vec_id", "label", "cluster_id")
+
+
+# --- trained models (rows-only checks) -------------------------------------------------
+from churnlens.plans import training as T  # noqa: E402
+from churnlens.session import shared_path  # noqa: E402
+from churnlens.sources import sinks  # noqa: E402
+from churnlens.sources.readers import read_drivers, read_profiles  # noqa: E402
+
+_TRAINED: dict = {}
+
+
+def trained(spark: SparkSession, sf_dir: str) -> T.Artifacts:
+    """Models trained once per application and input folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TRAINED:
+        df = cleaned(spark, sf_dir).persist()
+        _TRAINED[key] = T.train_all(df, numeric=NUMERIC, categorical=CATEGORICAL)
+    return _TRAINED[key]
+
+
+def _out(spark, sf_dir, name):
+    tag = sf_dir.rstrip("/").rsplit("/", 1)[-1]
+    return shared_path(spark, "churnlens-outputs", spark.sparkContext.applicationId, tag, name)
+
+
+@register("M1_churn_tree_drivers")
+def m1(spark, sf_dir):
+    return M.feature_importance(spark, trained(spark, sf_dir).churn)
+
+
+@register("M3_predict_test_rows")
+def m3(spark, sf_dir):
+    art = trained(spark, sf_dir)
+    test = art.split.filter(F.col("is_test")).drop("is_test")
+    return art.churn.transform(test).select("cust_key", "churn", "churn_probability", "prediction")
+
+
+@register("E6_evaluate_model")
+def e6(spark, sf_dir):
+    return T.metrics_row(trained(spark, sf_dir))
+
+
+@register("K1_cluster_matrix")
+def k1(spark, sf_dir):
+    art = trained(spark, sf_dir)
+    scaled = art.segments.encoding.transform(art.cleaned)
+    return Fe.slot_statistics(scaled, art.segments.names, "scaled")
+
+
+@register("K2_fit_kmeans")
+def k2(spark, sf_dir):
+    art = trained(spark, sf_dir)
+    return art.segments.transform(art.cleaned).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("count"))
+
+
+@register("K5_choose_k")
+def k5(spark, sf_dir):
+    art = trained(spark, sf_dir)
+    return art.search.withColumn("chosen", F.col("k") == F.lit(art.chosen_k))
+
+
+@register("C1_model_profiles")
+def c1_model(spark, sf_dir):
+    return trained(spark, sf_dir).profiles
+
+
+@register("R2_score_customers")
+def r2(spark, sf_dir):
+    art = trained(spark, sf_dir)
+    return T.score_customers(art.cleaned, art)
+
+
+@register("R6_predict_batch")
+def r6(spark, sf_dir):
+    art = trained(spark, sf_dir)
+    raw = V.parse_numeric_column(subscribers(spark, sf_dir))
+    return T.predict_batch(raw, art)
+
+
+@register("R7_predict_stream")
+def r7(spark, sf_dir):
+    from churnlens.streaming.predict_stream import read_predictions, start_prediction_stream
+
+    art = trained(spark, sf_dir)
+    src = _out(spark, sf_dir, "stream_source")
+    raw = subscribers(spark, sf_dir)
+    raw.write.mode("overwrite").parquet(src)
+    out = _out(spark, sf_dir, "stream_out")
+    q = start_prediction_stream(spark, src, raw.schema, art, out, _out(spark, sf_dir, "stream_ckpt"))
+    q.awaitTermination()
+    return read_predictions(spark, out).drop("epoch")
+
+
+@register("S3_write_drivers")
+def s3(spark, sf_dir):
+    path = sinks.write_drivers(gain_table(spark, sf_dir), _out(spark, sf_dir, "drivers"))
+    return rounded(read_drivers(spark, path, top_n=15))
+
+
+@register("S8_read_drivers")
+def s8(spark, sf_dir):
+    path = sinks.write_drivers(gain_table(spark, sf_dir), _out(spark, sf_dir, "drivers_csv"), fmt="csv")
+    return rounded(read_drivers(spark, path, top_n=10, fmt="csv"))
+
+
+@register("S4_write_profiles")
+def s4(spark, sf_dir):
+    path = sinks.write_profiles(given_profiles(spark, sf_dir), _out(spark, sf_dir, "profiles"))
+    return rounded(read_profiles(spark, path))
+
+
+@register("S9_read_profiles")
+def s9(spark, sf_dir):
+    path = sinks.write_profiles(given_profiles(spark, sf_dir), _out(spark, sf_dir, "profiles_csv"), fmt="csv")
+    return rounded(read_profiles(spark, path, fmt="csv"))
+
+
+@register("S5_write_k_search")
+def s5(spark, sf_dir):
+    art = trained(spark, sf_dir)
+    path = sinks.write_k_search(art.search, art.chosen_k, _out(spark, sf_dir, "kmeans_search"))
+    return spark.read.json(path)
+
+
+@register("S6_write_metrics")
+def s6(spark, sf_dir):
+    path = sinks.write_metrics(T.metrics_row(trained(spark, sf_dir)), _out(spark, sf_dir, "metrics"))
+    return spark.read.json(path)
+
+
+@register("S7_save_load_model")
+def s7(spark, sf_dir):
+    art = trained(spark, sf_dir)
+    path = _out(spark, sf_dir, "churn_model")
+    art.churn.save(path)
+    loaded = M.ChurnModel.load(path)
+    return loaded.transform(art.cleaned).select("cust_key", "churn_probability", "prediction")
