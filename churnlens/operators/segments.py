@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from churnlens.operators.features import SEED, fit_encoding, standardizer_stages
 from churnlens.operators.quality import split_columns
-from churnlens.sources.schema import LABEL_COL
+from churnlens.sources.schema import ID_COL, LABEL_COL
 
 N_INIT = 10  # fixed: starts per k (best by inertia)
 K_FINAL = 4  # fixed: the reference trains its final model with k = 4
@@ -76,6 +76,18 @@ def cluster_matrix(df: DataFrame, numeric: list[str] | None = None, categorical:
     return model, enc.names
 
 
+def canonical_layout(vectors: DataFrame, key: str, n_partitions: int | None = None) -> DataFrame:
+    """Rows placed by a hash of ``key`` into a fixed number of partitions, sorted inside.
+
+    MLlib's k-means|| seeding samples each partition with a seed derived from the
+    partition index, so the clusters depend on how rows are laid out.  After this step
+    the layout depends only on the keys and ``n_partitions``, so one seed gives one
+    result whatever the upstream partitioning was.
+    """
+    n = n_partitions or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return vectors.repartition(n, key).sortWithinPartitions(key)
+
+
 def _fit_one(vectors: DataFrame, k: int, seed: int, max_iter: int, tol: float, features: str) -> KMeansModel:
     km = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol=features, predictionCol="cluster_id")
     return km.fit(vectors)
@@ -208,7 +220,8 @@ def choose_k(vectors: DataFrame, k_min: int = K_RANGE[0], k_max: int = K_RANGE[1
 
 def train_segments(df: DataFrame, k: int | None = K_FINAL, search: tuple[int, int] | None = K_RANGE,
                    seed: int = SEED, n_init: int = N_INIT, label: str = LABEL_COL,
-                   numeric: list[str] | None = None, categorical: list[str] | None = None):
+                   numeric: list[str] | None = None, categorical: list[str] | None = None,
+                   id_col: str = ID_COL, n_partitions: int | None = None):
     """K1 + K5 + K2: returns (ClusterModel, k-search table or None).
 
     ``k=None`` takes the best silhouette of the search; an integer fixes k (the
@@ -219,7 +232,8 @@ def train_segments(df: DataFrame, k: int | None = K_FINAL, search: tuple[int, in
     if numeric is None or categorical is None:
         numeric, categorical = split_columns(df, label_col=label)
     enc, names = cluster_matrix(df, numeric, categorical, label)
-    vectors = enc.transform(df).select("scaled").checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
+    laid_out = canonical_layout(enc.transform(df).select(id_col, "scaled"), id_col, n_partitions)
+    vectors = laid_out.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
     table, best = None, None
     models = {}
     if search:
