@@ -4,9 +4,14 @@ Spark's ``round`` / ``format_string`` round HALF_UP on the *shortest decimal tex
 of a double (``format_string('%.1f', 0.15)`` gives ``0.2``), while the numbers this
 engine must reproduce are rounded on the exact binary value with ties to even
 (``0.15`` is ``0.1499999...`` and gives ``0.1``; ``12.25`` is an exact tie and gives
-``12.2``).  The helpers below decide the rounding direction exactly with an
-error-free product (Dekker's TwoProduct), using plain double arithmetic that stays
-inside whole-stage codegen - no UDF.
+``12.2``), as Python's ``round`` and ``f"{x:.1f}"`` do.
+
+* ties to even: ``format_number`` (Java's DecimalFormat, HALF_EVEN on the exact
+  binary value) gives exactly Python's text; parsing it back gives Python's ``round``.
+* ties up (JavaScript ``toFixed``): the rounding direction is decided exactly with an
+  error-free product (Dekker's TwoProduct) in plain double arithmetic.
+
+Both stay inside whole-stage codegen - no UDF.
 """
 
 from __future__ import annotations
@@ -52,19 +57,28 @@ def _scaled_integer(x: Column, digits: int, ties: str) -> Column:
     return n.cast("bigint")
 
 
+def _finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+
+
 def round_exact(x: Column, digits: int, ties: str = "even") -> Column:
     """Round like Python's ``round(x, digits)``: nearest double to the decimal result."""
     if isinstance(x, str):
         x = F.col(x)
-    n = _scaled_integer(x, digits, ties)
-    out = n.cast("double") / F.lit(float(10**digits))
-    return F.when(x.isNull() | F.isnan(x), x.cast("double")).otherwise(out)
+    x = x.cast("double")
+    if ties == "even":
+        out = format_fixed(x, digits).cast("double")
+    else:
+        out = _scaled_integer(x, digits, ties).cast("double") / F.lit(float(10**digits))
+    return F.when(_finite(x), out).otherwise(x)
 
 
 def format_fixed(x: Column, digits: int, ties: str = "even") -> Column:
     """Text of x with exactly ``digits`` decimals, like Python ``f"{x:.{digits}f}"``."""
     if isinstance(x, str):
         x = F.col(x)
+    if ties == "even":
+        return F.translate(F.format_number(x.cast("double"), digits), ",", "")
     n = _scaled_integer(x, digits, ties)
     scale = 10**digits
     mag = F.abs(n)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor
@@ -103,12 +104,14 @@ def fit_churn_tree(train: DataFrame, label: str = LABEL_COL, max_depth: int = MA
     """M1: impute (F1/F2), one-hot (F3), assemble (F5), weighted Gini tree."""
     if numeric is None or categorical is None:
         numeric, categorical = split_columns(train, label_col=label)
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)  # read by several jobs below, and by every tree level
     fill = imputation_values(train, numeric, categorical)
     data = impute(train, fill).withColumns({"_y": F.col(label).cast("double"), "_w": balanced_weight(train, label)})
     tree = DecisionTreeRegressor(featuresCol="features", labelCol="_y", weightCol="_w", predictionCol="churn_probability",
                                  maxDepth=max_depth, minInstancesPerNode=min_samples_leaf, maxBins=max_bins, seed=seed)
     pipe = Pipeline(stages=one_hot_stages(categorical) + [assembler(numeric, categorical), tree])
     model = pipe.fit(data)
+    train.unpersist()
     names = feature_names(model, numeric, categorical)
     meta = dict(numeric_cols=numeric, categorical_cols=categorical, feature_names=names, random_state=seed,
                 max_depth=max_depth, min_samples_leaf=min_samples_leaf)
@@ -118,7 +121,7 @@ def fit_churn_tree(train: DataFrame, label: str = LABEL_COL, max_depth: int = MA
 def train_churn_model(df: DataFrame, label: str = LABEL_COL, id_col: str = ID_COL, test_size: float = TEST_SIZE,
                       seed: int = SEED, **tree_args) -> tuple[ChurnModel, DataFrame]:
     """Split (F7) then fit (M1) on the training rows; returns (model, split frame)."""
-    split = stratified_split(df, label, id_col, test_size, seed)
+    split = stratified_split(df, label, id_col, test_size, seed).persist(StorageLevel.MEMORY_AND_DISK)
     model = fit_churn_tree(split.filter(~F.col("is_test")).drop("is_test"), label, seed=seed, **tree_args)
     model.meta["test_size"] = test_size
     return model, split

@@ -16,9 +16,11 @@ from churnlens.functions.rounding import round_exact
 from churnlens.sources.schema import ID_COL, LABEL_COL, MONTHLY, TENURE
 
 
-def _is_churn(label_col: str) -> Column:
+def _is_churn(label_col: str, df: DataFrame | None = None) -> Column:
     """Label as 0/1 whether the table holds 0/1 or Yes/No."""
     c = F.col(label_col)
+    if df is not None and dict(df.dtypes).get(label_col) in ("int", "bigint", "smallint", "tinyint"):
+        return c
     return F.when(c.cast("string").isin("1", "Yes"), 1).when(c.cast("string").isin("0", "No"), 0)
 
 
@@ -27,7 +29,7 @@ def kpi_summary(df: DataFrame, persona_count: int = 0, label_col: str = LABEL_CO
     high = F.sum((F.col("risk_level") == "High").cast("long")) if "risk_level" in df.columns else F.lit(0)
     agg = df.agg(
         F.count(F.lit(1)).alias("total_customers"),
-        F.coalesce(F.sum(_is_churn(label_col)), F.lit(0)).cast("long").alias("churned_customers"),
+        F.coalesce(F.sum(_is_churn(label_col, df)), F.lit(0)).cast("long").alias("churned_customers"),
         F.coalesce(high, F.lit(0)).cast("long").alias("high_risk_count"),
         F.avg(TENURE).alias("avg_tenure"),
         F.avg(MONTHLY).alias("avg_monthly_charges"),
@@ -45,7 +47,7 @@ def kpi_summary(df: DataFrame, persona_count: int = 0, label_col: str = LABEL_CO
 
 def churn_distribution(df: DataFrame, label_col: str = LABEL_COL) -> DataFrame:
     """Q2: "No Churn" then "Churn" with counts; a missing class still shows 0."""
-    y = _is_churn(label_col)
+    y = _is_churn(label_col, df)
     agg = df.agg(
         F.coalesce(F.sum((y == 0).cast("long")), F.lit(0)).alias("n0"),
         F.coalesce(F.sum((y == 1).cast("long")), F.lit(0)).alias("n1"),
@@ -62,7 +64,7 @@ def churn_by_contract(df: DataFrame, label_col: str = LABEL_COL, contract_col: s
     out = (
         df.filter(F.col(contract_col).isNotNull())
         .groupBy(F.col(contract_col).alias("contract"))
-        .agg(F.avg(_is_churn(label_col)).alias("_rate"), F.count(F.lit(1)).alias("count"))
+        .agg(F.avg(_is_churn(label_col, df)).alias("_rate"), F.count(F.lit(1)).alias("count"))
     )
     return out.select("contract", round_exact("_rate", 4).alias("churn_rate"), "count", "_rate")
 
@@ -79,7 +81,7 @@ def with_tenure_band(df: DataFrame, tenure_col: str = TENURE) -> DataFrame:
 
 def churn_by_tenure(df: DataFrame, label_col: str = LABEL_COL, tenure_col: str = TENURE) -> DataFrame:
     """Q6: churn rate (4 dp) and count per tenure band, in band order; empty bands absent."""
-    banded = df.select(tenure_band_index(tenure_col).alias("tenure_bin_index"), _is_churn(label_col).alias("_y"))
+    banded = df.select(tenure_band_index(tenure_col).alias("tenure_bin_index"), _is_churn(label_col, df).alias("_y"))
     agg = (
         banded.filter(F.col("tenure_bin_index").isNotNull())
         .groupBy("tenure_bin_index")

@@ -94,17 +94,26 @@ def _fit_one(vectors: DataFrame, k: int, seed: int, max_iter: int, tol: float, f
 
 
 def fit_kmeans(vectors: DataFrame, k: int, seed: int = SEED, n_init: int = N_INIT, max_iter: int = MAX_ITER,
-               tol: float = TOL, features: str = "scaled", parallel: int = 4) -> KMeansModel:
-    """K2: best of ``n_init`` starts (seeds seed .. seed + n_init - 1) by training cost.
+               tol: float = TOL, features: str = "scaled", parallel: int = 8) -> KMeansModel:
+    """K2: best of ``n_init`` starts (seeds seed .. seed + n_init - 1) by training cost."""
+    return fit_kmeans_many(vectors, [k], seed, n_init, max_iter, tol, features, parallel)[k]
 
-    Ties go to the earliest seed, so the result does not depend on thread timing.
+
+def fit_kmeans_many(vectors: DataFrame, ks: list[int], seed: int = SEED, n_init: int = N_INIT, max_iter: int = MAX_ITER,
+                    tol: float = TOL, features: str = "scaled", parallel: int = 8) -> dict[int, KMeansModel]:
+    """Best-of-``n_init`` model for every k; all (k, seed) starts are independent jobs run concurrently.
+
+    Ties in cost go to the earliest seed, so the result does not depend on thread timing.
     """
-    seeds = [seed + i for i in range(n_init)]
-    with ThreadPoolExecutor(max_workers=max(1, min(parallel, n_init))) as pool:
-        models = list(pool.map(lambda s: _fit_one(vectors, k, s, max_iter, tol, features), seeds))
-    costs = [m.summary.trainingCost for m in models]
-    best = min(range(len(models)), key=lambda i: (costs[i], i))
-    return models[best]
+    starts = [(k, seed + i) for k in ks for i in range(n_init)]
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(starts)))) as pool:
+        models = list(pool.map(lambda ks_: _fit_one(vectors, ks_[0], ks_[1], max_iter, tol, features), starts))
+    best: dict[int, tuple[float, int, KMeansModel]] = {}
+    for i, ((k, _), m) in enumerate(zip(starts, models)):
+        key = (m.summary.trainingCost, i)
+        if k not in best or key < best[k][:2]:
+            best[k] = (key[0], key[1], m)
+    return {k: v[2] for k, v in best.items()}
 
 
 def as_array(c: str | Column) -> Column:
@@ -206,13 +215,15 @@ def choose_k(vectors: DataFrame, k_min: int = K_RANGE[0], k_max: int = K_RANGE[1
     ``n_init`` starts over it.
     """
     spark = vectors.sparkSession
-    rows, models = [], {}
-    for k in range(k_min, k_max + 1):
-        m = fit_kmeans(vectors, k, seed, n_init, features=features)
-        labelled = m.transform(vectors)
-        sil = silhouette(labelled, features, "cluster_id").first()["silhouette"]
-        rows.append((k, float(m.summary.trainingCost), float(sil)))
-        models[k] = m
+    ks = list(range(k_min, k_max + 1))
+    models = fit_kmeans_many(vectors, ks, seed, n_init, features=features)
+
+    def score(k):
+        sil = silhouette(models[k].transform(vectors), features, "cluster_id").first()["silhouette"]
+        return (k, float(models[k].summary.trainingCost), float(sil))
+
+    with ThreadPoolExecutor(max_workers=len(ks)) as pool:
+        rows = list(pool.map(score, ks))
     table = spark.createDataFrame(rows, "k int, inertia double, silhouette double")
     best = max(rows, key=lambda r: (r[2], -r[0]))[0]
     return table, best, models
