@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -94,13 +95,13 @@ def _fit_one(vectors: DataFrame, k: int, seed: int, max_iter: int, tol: float, f
 
 
 def fit_kmeans(vectors: DataFrame, k: int, seed: int = SEED, n_init: int = N_INIT, max_iter: int = MAX_ITER,
-               tol: float = TOL, features: str = "scaled", parallel: int = 8) -> KMeansModel:
+               tol: float = TOL, features: str = "scaled", parallel: int = 16) -> KMeansModel:
     """K2: best of ``n_init`` starts (seeds seed .. seed + n_init - 1) by training cost."""
     return fit_kmeans_many(vectors, [k], seed, n_init, max_iter, tol, features, parallel)[k]
 
 
 def fit_kmeans_many(vectors: DataFrame, ks: list[int], seed: int = SEED, n_init: int = N_INIT, max_iter: int = MAX_ITER,
-                    tol: float = TOL, features: str = "scaled", parallel: int = 8) -> dict[int, KMeansModel]:
+                    tol: float = TOL, features: str = "scaled", parallel: int = 16) -> dict[int, KMeansModel]:
     """Best-of-``n_init`` model for every k; all (k, seed) starts are independent jobs run concurrently.
 
     Ties in cost go to the earliest seed, so the result does not depend on thread timing.
@@ -218,8 +219,11 @@ def choose_k(vectors: DataFrame, k_min: int = K_RANGE[0], k_max: int = K_RANGE[1
     ks = list(range(k_min, k_max + 1))
     models = fit_kmeans_many(vectors, ks, seed, n_init, features=features)
 
+    evaluator = ClusteringEvaluator(featuresCol=features, predictionCol="cluster_id", distanceMeasure="squaredEuclidean")
+
     def score(k):
-        sil = silhouette(models[k].transform(vectors), features, "cluster_id").first()["silhouette"]
+        # MLlib's evaluator states the same squared-Euclidean silhouette as ``silhouette`` (tested equal)
+        sil = evaluator.evaluate(models[k].transform(vectors))
         return (k, float(models[k].summary.trainingCost), float(sil))
 
     with ThreadPoolExecutor(max_workers=len(ks)) as pool:

@@ -476,3 +476,51 @@ _PROFILE_READ = f"""SELECT cluster_id, persona_name, count, {R('pct_of_customers
        top_contract, top_internet, top_payment FROM profiles ORDER BY cluster_id"""
 ORACLE["S4_write_profiles"] = with_profiles(_PROFILE_READ)
 ORACLE["S9_read_profiles"] = with_profiles(_PROFILE_READ)
+
+
+# --- V3, V4, V8, F5, C4 ----------------------------------------------------------------
+_TOTAL_NUM = PARSED
+_RULES = [
+    *[(f"{c}:required", f"{c} IS NULL") for c in
+      ["senior_citizen", "partner", "dependents", "paperless_billing", "contract", "internet_service", "payment_method",
+       "tenure", "monthly_charges", "total_charges", "churn"]],
+    ("senior_citizen:min", "CAST(senior_citizen AS DOUBLE) < 0"),
+    ("senior_citizen:max", "CAST(senior_citizen AS DOUBLE) > 1"),
+    ("tenure:min", "CAST(tenure AS DOUBLE) < 0"),
+    ("monthly_charges:min", "CAST(monthly_charges AS DOUBLE) < 0"),
+    ("total_charges:numeric", f"total_charges IS NOT NULL AND ({_TOTAL_NUM}) IS NULL"),
+    ("total_charges:min", f"({_TOTAL_NUM}) < 0"),
+    ("partner:domain", "partner IS NOT NULL AND partner NOT IN ('Yes', 'No')"),
+    ("dependents:domain", "dependents IS NOT NULL AND dependents NOT IN ('Yes', 'No')"),
+    ("paperless_billing:domain", "paperless_billing IS NOT NULL AND paperless_billing NOT IN ('Yes', 'No')"),
+    ("internet_service:domain", "internet_service IS NOT NULL AND internet_service NOT IN ('DSL', 'Fiber optic', 'No')"),
+    ("contract:domain", "contract IS NOT NULL AND contract NOT IN ('Month-to-month', 'One year', 'Two year')"),
+    ("payment_method:domain", "payment_method IS NOT NULL AND payment_method NOT IN ('Electronic check', 'Mailed check', "
+                              "'Bank transfer (automatic)', 'Credit card (automatic)')"),
+]
+
+ORACLE["V3_rule_counts"] = f"WITH {SUBSCRIBERS_RAW}\n" + "\nUNION ALL\n".join(
+    f"SELECT '{rule}' AS rule, CAST(COALESCE(SUM(CASE WHEN {cond} THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_rows "
+    f"FROM subscribers_raw" for rule, cond in _RULES)
+
+ORACLE["V3_rejected_rows"] = f"WITH {SUBSCRIBERS_RAW}\n" + "\nUNION ALL\n".join(
+    f"SELECT cust_key, '{rule}' AS rule FROM subscribers_raw WHERE {cond}" for rule, cond in _RULES)
+
+ORACLE["V4_trim_flags"] = f"""WITH {SUBSCRIBERS_RAW}
+SELECT cust_key, trim(partner) AS partner, trim(dependents) AS dependents, trim(paperless_billing) AS paperless_billing
+FROM subscribers_raw"""
+
+ORACLE["V8_prepare_xy"] = with_subscribers("""
+SELECT cust_key, customer_id, senior_citizen, tenure, monthly_charges, total_charges, partner, dependents,
+       paperless_billing, contract, internet_service, payment_method, churn FROM subscribers""")
+
+ORACLE["F5_assemble"] = with_subscribers(f""", {SLOTS}
+SELECT c.cust_key, s.feature_index, CASE WHEN c.val = s.val THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS value
+FROM cats c JOIN slot_names s ON c.col = s.col
+UNION ALL SELECT cust_key, 0, CAST(senior_citizen AS DOUBLE) FROM subscribers
+UNION ALL SELECT cust_key, 1, CAST(tenure AS DOUBLE) FROM subscribers
+UNION ALL SELECT cust_key, 2, monthly_charges FROM subscribers
+UNION ALL SELECT cust_key, 3, total_charges FROM subscribers""")
+
+ORACLE["C4_disambiguate_names"] = with_profiles(
+    "SELECT cluster_id, persona_name, contains(persona_name, ' (C') AS disambiguated FROM profiles")

@@ -531,3 +531,41 @@ def s7(spark, sf_dir):
     art.churn.save(path)
     loaded = M.ChurnModel.load(path)
     return loaded.transform(art.cleaned).select("cust_key", "churn_probability", "prediction")
+
+
+# --- remaining inventory rows: V3, V4, V8, F5, C4 ---------------------------------------
+@register("V3_rule_counts")
+def v3_counts(spark, sf_dir):
+    return V.rule_counts(subscribers(spark, sf_dir))
+
+
+@register("V3_rejected_rows")
+def v3_rejected(spark, sf_dir):
+    checked = V.check_constraints(subscribers(spark, sf_dir))
+    return V.rejected_rows(checked).select("cust_key", F.explode("violations").alias("rule"))
+
+
+@register("V4_trim_flags")
+def v4(spark, sf_dir):
+    return V.trim_flags(subscribers(spark, sf_dir)).select("cust_key", "partner", "dependents", "paperless_billing")
+
+
+@register("V8_prepare_xy")
+def v8(spark, sf_dir):
+    return V.prepare_xy(cleaned(spark, sf_dir))
+
+
+@register("F5_assemble")
+def f5(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+
+    df, enc = encoded(spark, sf_dir)
+    arr = vector_to_array(F.col("features"))
+    return enc.transform(df).select("cust_key", F.posexplode(arr).alias("feature_index", "value")).withColumn(
+        "feature_index", F.col("feature_index").cast("int"))
+
+
+@register("C4_disambiguate_names")
+def c4(spark, sf_dir):
+    return given_profiles(spark, sf_dir).select(
+        "cluster_id", "persona_name", F.col("persona_name").contains(" (C").alias("disambiguated"))
