@@ -47,6 +47,22 @@ def rows_of(columns, records):
     return sorted(out, key=lambda r: tuple((x is None, str(type(x)), x if x is not None else 0) for x in r))
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+                 "date": "DATE", "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
+def type_diffs(sdf, rel):
+    s_types = dict(sdf.dtypes)
+    d_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    out = {}
+    for c, t in s_types.items():
+        want = SPARK_TO_DUCK.get(t, t)
+        got = d_types.get(c)
+        if got is not None and got != want:
+            out[c] = (t, got)
+    return out
+
+
 def compare(spark, sf_dir, name, fn, sql, con):
     t0 = time.time()
     sdf = fn(spark, sf_dir)
@@ -61,8 +77,11 @@ def compare(spark, sf_dir, name, fn, sql, con):
     ok_cols = sorted(s_cols) == sorted(d_cols)
     ok_n = len(s_rows) == len(d_rows)
     ok_v = ok_cols and ok_n and rows_of(s_cols, s_rows) == rows_of(d_cols, d_rows)
-    res = dict(name=name, ok=ok_cols and ok_n and ok_v, rows=len(s_rows), oracle_rows=len(d_rows),
+    types = type_diffs(sdf, rel)
+    res = dict(name=name, ok=ok_cols and ok_n and ok_v and not types, rows=len(s_rows), oracle_rows=len(d_rows),
                spark_s=round(t1 - t0, 2))
+    if types:
+        res["types"] = types
     if not ok_cols:
         res["cols"] = (sorted(s_cols), sorted(d_cols))
     elif not ok_v:
