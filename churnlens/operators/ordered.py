@@ -12,11 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from churnlens.session import default_partitions
+
 
 def _partitions(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    # explicit count: AQE must not coalesce this exchange, since both branches below
+    # read the same partition ids
+    return n or default_partitions(df.sparkSession)
 
 
 def prefix_sums(df: DataFrame, order_by: list[Column | str], sums: list[str], n_partitions: int | None = None) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from churnlens.operators.features import SEED, fit_encoding, standardizer_stages
 from churnlens.operators.quality import split_columns
+from churnlens.session import default_partitions, ensure_checkpoint_dir
 from churnlens.sources.schema import ID_COL, LABEL_COL
 
 N_INIT = 10  # fixed: starts per k (best by inertia)
@@ -85,7 +86,7 @@ def canonical_layout(vectors: DataFrame, key: str, n_partitions: int | None = No
     the layout depends only on the keys and ``n_partitions``, so one seed gives one
     result whatever the upstream partitioning was.
     """
-    n = n_partitions or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    n = n_partitions or default_partitions(vectors.sparkSession)
     return vectors.repartition(n, key).sortWithinPartitions(key)
 
 
@@ -247,6 +248,7 @@ def train_segments(df: DataFrame, k: int | None = K_FINAL, search: tuple[int, in
     if numeric is None or categorical is None:
         numeric, categorical = split_columns(df, label_col=label)
     enc, names = cluster_matrix(df, numeric, categorical, label)
+    ensure_checkpoint_dir(df.sparkSession)  # the shared folder named by spark.checkpoint.dir
     laid_out = canonical_layout(enc.transform(df).select(id_col, "scaled"), id_col, n_partitions)
     vectors = laid_out.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
     table, best = None, None
