@@ -67,15 +67,23 @@ class ClusterModel:
         return cls(PipelineModel.load(f"{path}/encoding"), KMeansModel.load(f"{path}/kmeans"), numeric, categorical, names)
 
 
+ROWS_PER_PARTITION = 1_000_000  # k-means matrix rows per partition (~200 MB at 20 slots)
+
+
 def cluster_matrix(df: DataFrame, numeric: list[str] | None = None, categorical: list[str] | None = None,
-                   label: str = LABEL_COL) -> tuple[PipelineModel, list[str]]:
+                   label: str = LABEL_COL, with_count: bool = False):
     """K1: fitted (one-hot, assemble, standardise) pipeline writing ``scaled``; and slot names."""
     if numeric is None or categorical is None:
         numeric, categorical = split_columns(df, label_col=label)
     enc = fit_encoding(df, numeric, categorical, out="features")
     n_rows = df.count()
     model = Pipeline(stages=[enc.model, *standardizer_stages(n_rows, len(enc.names), "features", "scaled")]).fit(df)
-    return model, enc.names
+    return (model, enc.names, n_rows) if with_count else (model, enc.names)
+
+
+def layout_partitions(spark, n_rows: int) -> int:
+    """Partitions for the k-means matrix: by row count, at most two per task slot."""
+    return max(1, min(default_partitions(spark), -(-n_rows // ROWS_PER_PARTITION)))
 
 
 def canonical_layout(vectors: DataFrame, key: str, n_partitions: int | None = None) -> DataFrame:
@@ -247,8 +255,9 @@ def train_segments(df: DataFrame, k: int | None = K_FINAL, search: tuple[int, in
     """
     if numeric is None or categorical is None:
         numeric, categorical = split_columns(df, label_col=label)
-    enc, names = cluster_matrix(df, numeric, categorical, label)
+    enc, names, n_rows = cluster_matrix(df, numeric, categorical, label, with_count=True)
     ensure_checkpoint_dir(df.sparkSession)  # the shared folder named by spark.checkpoint.dir
+    n_partitions = n_partitions or layout_partitions(df.sparkSession, n_rows)
     laid_out = canonical_layout(enc.transform(df).select(id_col, "scaled"), id_col, n_partitions)
     vectors = laid_out.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
     table, best = None, None
