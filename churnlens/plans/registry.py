@@ -29,8 +29,12 @@ def register(name: str):
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subscriber rows after V1 + V2 + V5 + V6."""
-    return V.clean(subscribers(spark, sf_dir))
+    """Subscriber rows after V1 + V2 + V5 + V6.
+
+    The view writes its label as Yes/No text, so V5 is told so (``label_mode="text"``)
+    instead of detecting it with a subquery that would re-derive the whole view.
+    """
+    return V.clean(subscribers(spark, sf_dir), label_mode="text")
 
 
 # --- scans and cleaning ------------------------------------------------------
@@ -61,7 +65,9 @@ def v2_count(spark, sf_dir):
 
 @register("V5_encode_label")
 def v5(spark, sf_dir):
-    return cleaned(spark, sf_dir).select("cust_key", "churn")
+    # the reference's automatic text/number detection, on the parsed and filtered view
+    kept = V.parse_numeric_column(subscribers(spark, sf_dir)).filter(F.col("total_charges").isNotNull())
+    return V.encode_label(kept, "churn", mode="auto").select("cust_key", "churn")
 
 
 @register("V9_null_profile")
