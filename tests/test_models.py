@@ -111,3 +111,19 @@ def test_same_seed_same_clusters(spark):
     ca = sorted(tuple(round(x, 6) for x in c) for c in a.clusterCenters())
     cb = sorted(tuple(round(x, 6) for x in c) for c in b.clusterCenters())
     assert ca == cb
+
+
+def test_unseen_category_and_null(spark):
+    fit_rows = spark.createDataFrame([(1.0, "A", 0), (2.0, "B", 1), (3.0, "B", 0), (4.0, "A", 1)], "x double, c string, churn int")
+    enc = Fe.fit_encoding(fit_rows, ["x"], ["c"])
+    assert enc.names == ["x", "c_A", "c_B"]
+    new = spark.createDataFrame([(5.0, "C"), (6.0, None), (7.0, "B")], "x double, c string")
+    from pyspark.ml.functions import vector_to_array
+
+    got = [r[0] for r in enc.transform(new).select(vector_to_array("features")).collect()]
+    assert got == [[5.0, 0.0, 0.0], [6.0, 0.0, 0.0], [7.0, 0.0, 1.0]]
+    # the churn model imputes a null category with the training mode before encoding
+    model = M.fit_churn_tree(fit_rows, numeric=["x"], categorical=["c"], min_samples_leaf=1)
+    assert model.fill["c"] == "A"  # tie between A and B -> lowest
+    out = model.transform(new).collect()
+    assert len(out) == 3 and all(0.0 <= r.churn_probability <= 1.0 for r in out)
