@@ -117,13 +117,25 @@ def share_of_total(df: DataFrame, value_col: str, out: str = "share") -> DataFra
 # ---------------------------------------------------------------------------
 # Customer listing (Q9-Q15)
 # ---------------------------------------------------------------------------
+def validate_regex(spark, pattern: str) -> str:
+    """Fail early, naming the pattern, when the (Java) regex does not compile.
+
+    Runs the pattern once against a one-row literal plan, so no table is read.
+    """
+    try:
+        spark.range(1).select(F.lit("").rlike(pattern)).collect()
+    except Exception as e:  # noqa: BLE001 - Spark wraps the PatternSyntaxException
+        raise ValueError(f"Invalid search pattern {pattern!r}: {str(e).splitlines()[0]}") from None
+    return pattern
+
+
 def search_customers(df: DataFrame, text: str | None, literal: bool = False, id_col: str = ID_COL) -> DataFrame:
     """Q9: case-insensitive regex (or literal) match on the id; empty text keeps all."""
     if not text:
         return df
     if literal:
         return df.filter(F.lower(F.col(id_col)).contains(text.lower()))
-    return df.filter(F.col(id_col).rlike("(?iu)" + text))
+    return df.filter(F.col(id_col).rlike(validate_regex(df.sparkSession, "(?iu)" + text)))
 
 
 def filter_contract(df: DataFrame, contract: str | None) -> DataFrame:
@@ -148,7 +160,9 @@ def filter_risk(df: DataFrame, risk_level: str | None) -> DataFrame:
 
 def filter_persona(df: DataFrame, persona: str | None) -> DataFrame:
     """Q13: case-insensitive regex on the persona name; null never matches."""
-    return df.filter(F.col("persona_name").rlike("(?iu)" + persona)) if persona else df
+    if not persona:
+        return df
+    return df.filter(F.col("persona_name").rlike(validate_regex(df.sparkSession, "(?iu)" + persona)))
 
 
 def filter_customers(df: DataFrame, search: str = "", contract=None, churn=None, risk_level=None, persona=None,

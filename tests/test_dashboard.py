@@ -64,3 +64,12 @@ def test_churn_distribution_keeps_zero_class(spark):
     df = spark.createDataFrame([(1,), (1,)], "churn int")
     got = [(r.label, r.value) for r in Q.churn_distribution(df).orderBy("position").collect()]
     assert got == [("No Churn", 0), ("Churn", 2)]
+
+
+def test_invalid_regex_is_a_clear_error(spark):
+    import pytest
+
+    with pytest.raises(ValueError, match="Invalid search pattern"):
+        Q.search_customers(_scored(spark), "a[")
+    with pytest.raises(ValueError, match="Invalid search pattern"):
+        Q.filter_persona(_scored(spark), "(unclosed")

@@ -127,3 +127,8 @@ def test_unseen_category_and_null(spark):
     assert model.fill["c"] == "A"  # tie between A and B -> lowest
     out = model.transform(new).collect()
     assert len(out) == 3 and all(0.0 <= r.churn_probability <= 1.0 for r in out)
+
+
+def test_missing_model_is_a_clear_error(spark, tmp_path):
+    with pytest.raises(FileNotFoundError, match="train it first"):
+        M.ChurnModel.load(str(tmp_path / "nothing-here"))
