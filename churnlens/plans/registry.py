@@ -12,8 +12,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from churnlens.functions.columns import label_text
+from churnlens.functions.rounding import round_exact
+from churnlens.operators import churn as M
 from churnlens.operators import dashboard as Q
+from churnlens.operators import features as Fe
+from churnlens.operators import metrics as E
+from churnlens.operators import personas as P
 from churnlens.operators import quality as V
+from churnlens.operators import scoring as R
+from churnlens.operators import segments as K
+from churnlens.plans import training as T
+from churnlens.session import shared_path
+from churnlens.sources import sinks
+from churnlens.sources.readers import read_drivers, read_profiles, read_table
 from churnlens.sources.subscriber import subscribers
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -107,11 +119,6 @@ def q6(spark, sf_dir):
 
 
 # --- shared derived views ----------------------------------------------------
-from churnlens.functions.columns import label_text  # noqa: E402
-from churnlens.functions.rounding import round_exact  # noqa: E402
-from churnlens.operators import metrics as E  # noqa: E402
-from churnlens.operators import personas as P  # noqa: E402
-from churnlens.operators import scoring as R  # noqa: E402
 
 GIVEN_K = 4  # cluster count of the given-label views (cust_key mod 4)
 SEARCH_TEXT = "CUSTOMER#0000001.5"  # regex: '.' is any character, case-insensitive
@@ -280,8 +287,6 @@ def q15(spark, sf_dir):
 
 
 # --- features --------------------------------------------------------------------
-from churnlens.operators import churn as M  # noqa: E402
-from churnlens.operators import features as Fe  # noqa: E402
 
 NUMERIC = ["senior_citizen", "tenure", "monthly_charges", "total_charges"]
 CATEGORICAL = ["partner", "dependents", "paperless_billing", "contract", "internet_service", "payment_method"]
@@ -381,8 +386,6 @@ def r5(spark, sf_dir):
 
 
 # --- embeddings with given labels / centres (K3, K4, K6) -----------------------------
-from churnlens.operators import segments as K  # noqa: E402
-from churnlens.sources.readers import read_table  # noqa: E402
 
 
 @register("K3_inertia")
@@ -403,10 +406,6 @@ def k6(spark, sf_dir):
 
 
 # --- trained models (rows-only checks) -------------------------------------------------
-from churnlens.plans import training as T  # noqa: E402
-from churnlens.session import shared_path  # noqa: E402
-from churnlens.sources import sinks  # noqa: E402
-from churnlens.sources.readers import read_drivers, read_profiles  # noqa: E402
 
 _TRAINED: dict = {}
 
