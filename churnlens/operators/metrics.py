@@ -49,24 +49,28 @@ def score_counts(df: DataFrame, label: str = "label", score: str = "score") -> D
     )
 
 
-def roc_curve(df: DataFrame, label: str = "label", score: str = "score", n_partitions: int | None = None) -> DataFrame:
+def roc_curve(df: DataFrame, label: str = "label", score: str = "score", n_partitions: int | None = None,
+              drop_intermediate: bool = True) -> DataFrame:
     """(threshold, fpr, tpr) per distinct score, descending, plus the (0, 0) start at +inf.
 
-    Each point also carries the trapezoid under the segment ending there, so
-    ``sum(area)`` is the ROC AUC.
+    With ``drop_intermediate`` (the reference's default) a point is left out when its
+    step (negatives, positives at that score) equals the next point's step, i.e. it lies
+    inside a straight run; the first and last points always stay.  Running counts and
+    the next point's step come from one range-partitioned pass (``prefix_sums``).
     """
     counts = score_counts(df, label, score)
-    run = prefix_sums(counts, [F.col("threshold").desc()], ["pos", "neg"], n_partitions)
+    run = prefix_sums(counts, [F.col("threshold").desc()], ["pos", "neg"], n_partitions,
+                      next_cols=["pos", "neg"] if drop_intermediate else None)
     P = counts.agg(F.sum("pos")).scalar()  # scalar subqueries, not joins
     N = counts.agg(F.sum("neg")).scalar()
-    fpr = _div(F.col("cum_neg"), N)
-    tpr = _div(F.col("cum_pos"), P)
-    # trapezoid: width neg/N, mean height (2 * cum_pos - pos) / (2 P)
-    area = _div(F.col("neg"), N) * _div(2 * F.col("cum_pos") - F.col("pos"), 2 * P)
-    curve = run.select("threshold", fpr.alias("fpr"), tpr.alias("tpr"), area.alias("area"))
+    if drop_intermediate:
+        first = (F.col("cum_pos") + F.col("cum_neg")) == (F.col("pos") + F.col("neg"))
+        last = F.col("next_pos").isNull()
+        bend = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
+        run = run.filter(first | last | bend)
+    curve = run.select("threshold", _div(F.col("cum_neg"), N).alias("fpr"), _div(F.col("cum_pos"), P).alias("tpr"))
     start = df.sparkSession.range(1).select(
-        F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("area")
-    )
+        F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return start.unionByName(curve)
 
 

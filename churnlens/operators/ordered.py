@@ -21,22 +21,47 @@ def _partitions(df: DataFrame, n: int | None) -> int:
     return n or default_partitions(df.sparkSession)
 
 
-def prefix_sums(df: DataFrame, order_by: list[Column | str], sums: list[str], n_partitions: int | None = None) -> DataFrame:
+def prefix_sums(df: DataFrame, order_by: list[Column | str], sums: list[str], n_partitions: int | None = None,
+                next_cols: list[str] | None = None) -> DataFrame:
     """Adds ``cum_<c>`` = sum of ``c`` over all rows up to and including this one.
 
     ``order_by`` must be a total order (unique keys); ties would be summed in an
-    arbitrary order.  Output keeps every input column.
+    arbitrary order.  With ``next_cols`` it also adds ``next_<c>``: the value of ``c`` in
+    the following row of the global order (null for the last row), taken from the same
+    partition or, for a partition's last row, from the first row of the next non-empty
+    partition.  Output keeps every input column.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    next_cols = list(next_cols or [])
     n = _partitions(df, n_partitions)
     ranged = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.withColumns({f"_loc_{c}": F.sum(c).over(within) for c in sums})
-    totals = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_tot_{c}") for c in sums])
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # n rows only
-    offsets = totals.select(
-        "_part", *[F.coalesce(F.sum(f"_tot_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in sums]
-    )
+    within = Window.partitionBy("_part").orderBy(*order)
+    running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cols = {f"_loc_{c}": F.sum(c).over(running) for c in sums}
+    cols.update({f"_lead_{c}": F.lead(c).over(within) for c in next_cols})
+    cols.update({"_pos": F.row_number().over(within)} if next_cols else {})
+    local = ranged.withColumns(cols)
+    agg = [F.sum(c).alias(f"_tot_{c}") for c in sums]
+    if next_cols:
+        # the partition's first row in the order: the one whose position is 1
+        agg.append(F.min_by(F.struct(*[F.col(c).alias(c) for c in next_cols]), "_pos").alias("_first"))
+        totals = local.groupBy("_part").agg(*agg)
+    else:
+        totals = ranged.groupBy("_part").agg(*agg)
+    by_part = Window.orderBy("_part")  # n_partitions rows only
+    before = by_part.rowsBetween(Window.unboundedPreceding, -1)
+    side = [F.coalesce(F.sum(f"_tot_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in sums]
+    if next_cols:
+        side.append(F.lead("_first").over(by_part).alias("_next_first"))
+    offsets = totals.select("_part", *side)
     joined = local.join(F.broadcast(offsets), "_part")
-    out = joined.withColumns({f"cum_{c}": F.col(f"_loc_{c}") + F.col(f"_off_{c}") for c in sums})
-    return out.drop("_part", *[f"_loc_{c}" for c in sums], *[f"_off_{c}" for c in sums])
+    out_cols = {f"cum_{c}": F.col(f"_loc_{c}") + F.col(f"_off_{c}") for c in sums}
+    if next_cols:
+        # a null lead means either the partition's last row or a genuine null value
+        is_last_in_part = F.col("_pos") == F.max("_pos").over(Window.partitionBy("_part"))
+        out_cols.update({f"next_{c}": F.when(is_last_in_part, F.col("_next_first")[c]).otherwise(F.col(f"_lead_{c}"))
+                         for c in next_cols})
+    out = joined.withColumns(out_cols)
+    drop = ["_part", "_pos", "_next_first", *[f"_loc_{c}" for c in sums], *[f"_off_{c}" for c in sums],
+            *[f"_lead_{c}" for c in next_cols]]
+    return out.drop(*[c for c in drop if c in out.columns])

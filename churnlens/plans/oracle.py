@@ -247,12 +247,14 @@ FROM run"""
 
 ORACLE["E4_roc_curve"] = f"""WITH {RULE_SCORED}, {SCORE_COUNTS},
 run AS (SELECT *, SUM(pos) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS cum_pos,
-               SUM(neg) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS cum_neg FROM counts),
+               SUM(neg) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS cum_neg,
+               LEAD(pos) OVER (ORDER BY threshold DESC) AS next_pos, LEAD(neg) OVER (ORDER BY threshold DESC) AS next_neg,
+               row_number() OVER (ORDER BY threshold DESC) AS i FROM counts),
 tot AS (SELECT SUM(pos) AS p, SUM(neg) AS n FROM counts)
-SELECT CAST('inf' AS DOUBLE) AS threshold, 0.0 AS fpr, 0.0 AS tpr, 0.0 AS area
+SELECT CAST('inf' AS DOUBLE) AS threshold, 0.0 AS fpr, 0.0 AS tpr
 UNION ALL
-SELECT threshold, {_d('cum_neg', 'n')}, {_d('cum_pos', 'p')}, {_d('neg', 'n')} * {_d('2 * cum_pos - pos', '2 * p')}
-FROM run, tot"""
+SELECT threshold, {_d('cum_neg', 'n')}, {_d('cum_pos', 'p')}
+FROM run, tot WHERE i = 1 OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg"""
 
 ORACLE["E5_classification_report"] = f"""WITH {RULE_SCORED}, cm AS ({CM}),
 per AS (

@@ -38,3 +38,24 @@ def test_split_with_dominant_class(spark):
     got = {(r.churn, r.is_test): r["count"] for r in split.groupBy("churn", "is_test").count().collect()}
     assert got[(1, True)] == 580 and got[(0, True)] == 20
     assert got[(1, False)] == 2320 and got[(0, False)] == 80
+
+
+@pytest.mark.parametrize("parts", [1, 4, 9])
+def test_next_values_cross_partitions(spark, parts):
+    rows = [(k, k * 10) for k in range(0, 200, 3)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(3)
+    got = {r.k: r.next_v for r in prefix_sums(df, ["k"], ["v"], parts, next_cols=["v"]).collect()}
+    keys = [k for k, _ in rows]
+    for a, b in zip(keys, keys[1:]):
+        assert got[a] == b * 10
+    assert got[keys[-1]] is None
+
+
+def test_roc_curve_drops_straight_runs(spark):
+    from churnlens.operators import metrics as E
+
+    # scores 0.9, 0.8, 0.7 each hold one positive: equal steps -> 0.8 is dropped
+    rows = [(1, 0.9), (1, 0.8), (1, 0.7), (0, 0.6), (0, 0.5), (1, 0.4)]
+    df = spark.createDataFrame(rows, "label int, score double")
+    pts = [(r.threshold, r.fpr, r.tpr) for r in E.roc_curve(df, n_partitions=3).orderBy(F.desc("threshold")).collect()]
+    assert pts == [(float("inf"), 0.0, 0.0), (0.9, 0.0, 0.25), (0.7, 0.0, 0.75), (0.5, 1.0, 0.75), (0.4, 1.0, 1.0)]
