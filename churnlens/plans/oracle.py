@@ -365,20 +365,25 @@ num_x AS (SELECT 0 AS feature_index, 'senior_citizen' AS feature, CAST(senior_ci
 SELECT feature_index, feature, {R('AVG(x)', 6)} AS mean, {R('STDDEV_POP(x)', 6)} AS std
 FROM (SELECT * FROM slot_x UNION ALL SELECT * FROM num_x) GROUP BY feature_index, feature""")
 
-ORACLE["F7_stratified_split"] = with_subscribers("""
-SELECT cust_key, churn, rn <= CEIL(CAST(0.2 AS DOUBLE) * n_c) AS is_test FROM (
-  SELECT cust_key, churn, row_number() OVER (PARTITION BY churn ORDER BY md5(customer_id || ':42'), customer_id) AS rn,
-         COUNT(*) OVER (PARTITION BY churn) AS n_c FROM subscribers)""")
+SPLIT = """cls AS (SELECT churn, COUNT(*) AS c FROM subscribers GROUP BY churn),
+tot AS (SELECT SUM(c) AS n, CAST(CEIL(CAST(0.2 AS DOUBLE) * SUM(c)) AS BIGINT) AS n_test FROM cls),
+cont AS (SELECT churn, c, CAST(c AS DOUBLE) / n * (n - n_test) AS x, n - n_test AS n_train FROM cls, tot),
+fl AS (SELECT *, FLOOR(x) AS f, x - FLOOR(x) AS r FROM cont),
+need AS (SELECT n_train - SUM(f) AS k FROM fl GROUP BY n_train),
+alloc AS (SELECT churn, c - (f + CASE WHEN row_number() OVER (ORDER BY r DESC, churn) <= (SELECT k FROM need)
+                                      THEN 1 ELSE 0 END) AS t FROM fl),
+split AS (SELECT s.cust_key, s.churn, row_number() OVER (PARTITION BY s.churn ORDER BY md5(s.customer_id || ':42'),
+                 s.customer_id) <= a.t AS is_test FROM subscribers s JOIN alloc a USING (churn))"""
+
+ORACLE["F7_stratified_split"] = with_subscribers(f""", {SPLIT}
+SELECT cust_key, churn, is_test FROM split""")
 
 ORACLE["F8_class_weights"] = with_subscribers("""
 SELECT churn AS label, COUNT(*) AS count,
        CAST(SUM(COUNT(*)) OVER () AS DOUBLE) / (COUNT(*) OVER () * COUNT(*)) AS weight
 FROM subscribers GROUP BY churn""")
 
-ORACLE["M2_model_metadata"] = with_subscribers(f""", {SLOTS},
-split AS (SELECT rn <= CEIL(CAST(0.2 AS DOUBLE) * n_c) AS is_test FROM (
-  SELECT row_number() OVER (PARTITION BY churn ORDER BY md5(customer_id || ':42'), customer_id) AS rn,
-         COUNT(*) OVER (PARTITION BY churn) AS n_c FROM subscribers))
+ORACLE["M2_model_metadata"] = with_subscribers(f""", {SLOTS}, {SPLIT}
 SELECT CAST(SUM(CASE WHEN NOT is_test THEN 1 ELSE 0 END) AS BIGINT) AS n_train,
        CAST(SUM(CASE WHEN is_test THEN 1 ELSE 0 END) AS BIGINT) AS n_test,
        CAST((SELECT COUNT(*) FROM slot_names) + {N_NUMERIC} AS INTEGER) AS n_features, 42 AS random_state,

@@ -27,9 +27,9 @@ def test_split_is_exact_and_disjoint(spark, data):
     split = Fe.stratified_split(data)
     n = data.count()
     counts = {(r.churn, r.is_test): r["count"] for r in split.groupBy("churn", "is_test").count().collect()}
-    for label in (0, 1):
-        total = counts[(label, True)] + counts[(label, False)]
-        assert counts[(label, True)] == -(-total * 2 // 10)  # ceil(0.2 x class count)
+    per_class = [counts[(0, True)] + counts[(0, False)], counts[(1, True)] + counts[(1, False)]]
+    assert [counts[(0, True)], counts[(1, True)]] == Fe.holdout_counts(per_class)
+    assert counts[(0, True)] + counts[(1, True)] == -(-n * 2 // 10)  # ceil(0.2 x n) in total
     assert split.count() == n and split.select("cust_key").distinct().count() == n
     # a pure function of (id, seed): other partition counts give the same rows
     again = Fe.stratified_split(data.repartition(3), n_partitions=5)
@@ -38,6 +38,14 @@ def test_split_is_exact_and_disjoint(spark, data):
     assert a == b
 
 
+def test_allocation_like_reference():
+    # 0.2 x 1378 = 275.6 -> 276 test rows; train 1102 split 579.0 / 522.99 -> 579 / 523
+    assert Fe.holdout_counts([724, 654]) == [145, 131]
+    assert Fe.holdout_counts([5, 5]) == [1, 1]  # ceil(2.0) = 2 test rows
+    assert Fe.allocate([1, 1, 1], 2) == [1, 1, 0]  # equal remainders: lower classes first
+    assert sum(Fe.holdout_counts([2900, 100])) == 600
+
+
 def test_tree_invariants(spark, tree):
     model, split = tree
     imps = model.importances()

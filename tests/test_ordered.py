@@ -36,7 +36,7 @@ def test_split_with_dominant_class(spark):
     df = spark.createDataFrame(rows, "customer_id string, churn int")
     split = Fe.stratified_split(df, n_partitions=6)
     got = {(r.churn, r.is_test): r["count"] for r in split.groupBy("churn", "is_test").count().collect()}
-    assert got[(1, True)] == 580 and got[(0, True)] == 20
+    assert got[(1, True)] == 580 and got[(0, True)] == 20  # 600 test rows in proportion
     assert got[(1, False)] == 2320 and got[(0, False)] == 80
 
 
