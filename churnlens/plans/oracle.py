@@ -531,3 +531,7 @@ UNION ALL SELECT cust_key, 3, total_charges FROM subscribers""")
 
 ORACLE["C4_disambiguate_names"] = with_profiles(
     "SELECT cluster_id, persona_name, contains(persona_name, ' (C') AS disambiguated FROM profiles")
+
+ORACLE["Q14_list_customers_after"] = with_dash(f"""
+SELECT customer_id, tenure, contract, monthly_charges, internet_service, churn, risk_level, persona_name, cluster_id,
+       churn_probability {LISTING} AND customer_id > 'Customer#000000700' ORDER BY customer_id LIMIT 20""")

@@ -574,3 +574,9 @@ def f5(spark, sf_dir):
 def c4(spark, sf_dir):
     return given_profiles(spark, sf_dir).select(
         "cluster_id", "persona_name", F.col("persona_name").contains(" (C").alias("disambiguated"))
+
+
+@register("Q14_list_customers_after")
+def q14_after(spark, sf_dir):
+    """Key-set page for deep paging: the 20 rows after a given id."""
+    return Q.list_customers_after(dashboard_scored(spark, sf_dir), "Customer#000000700", 20, **LISTING_FILTERS)
