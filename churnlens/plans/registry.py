@@ -7,6 +7,7 @@ under the same key.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -483,11 +484,12 @@ def r7(spark, sf_dir):
     from churnlens.streaming.predict_stream import read_predictions, start_prediction_stream
 
     art = trained(spark, sf_dir)
-    src = _out(spark, sf_dir, "stream_source")
+    run = f"stream-{uuid.uuid4().hex}"  # source, sink and checkpoint of this run only
+    src = _out(spark, sf_dir, f"{run}/source")
     raw = subscribers(spark, sf_dir)
-    raw.write.mode("overwrite").parquet(src)
-    out = _out(spark, sf_dir, "stream_out")
-    q = start_prediction_stream(spark, src, raw.schema, art, out, _out(spark, sf_dir, "stream_ckpt"))
+    raw.write.parquet(src)
+    out = _out(spark, sf_dir, f"{run}/out")
+    q = start_prediction_stream(spark, src, raw.schema, art, out, _out(spark, sf_dir, f"{run}/checkpoint"))
     q.awaitTermination()
     return read_predictions(spark, out).drop("epoch")
 
