@@ -126,11 +126,6 @@ def fit_kmeans_many(vectors: DataFrame, ks: list[int], seed: int = SEED, n_init:
     return {k: v[2] for k, v in best.items()}
 
 
-def as_array(c: str | Column) -> Column:
-    """A vector or numeric array column as array<double>."""
-    return (F.col(c) if isinstance(c, str) else c)
-
-
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
 

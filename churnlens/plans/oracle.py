@@ -535,3 +535,18 @@ ORACLE["C4_disambiguate_names"] = with_profiles(
 ORACLE["Q14_list_customers_after"] = with_dash(f"""
 SELECT customer_id, tenure, contract, monthly_charges, internet_service, churn, risk_level, persona_name, cluster_id,
        churn_probability {LISTING} AND customer_id > 'Customer#000000700' ORDER BY customer_id LIMIT 20""")
+
+
+# --- evaluation on labelled documents ------------------------------------------------
+DOC_SCORED = """scored AS (
+  SELECT l.doc_id, l.quality AS label, CAST(d.n_chars AS DOUBLE) / (d.n_chars + CAST(1000 AS DOUBLE)) AS score,
+         CAST(CAST(d.n_chars AS DOUBLE) / (d.n_chars + CAST(1000 AS DOUBLE)) > 0.5 AS INTEGER) AS prediction
+  FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
+
+
+def _on_documents(sql: str) -> str:
+    return sql.replace(f"WITH {RULE_SCORED}", f"WITH {DOC_SCORED}", 1)
+
+
+for _k in ("E1_confusion_matrix", "E3_roc_auc", "E4_roc_curve", "E5_classification_report"):
+    ORACLE[f"{_k}_documents"] = _on_documents(ORACLE[_k])

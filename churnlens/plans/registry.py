@@ -582,3 +582,33 @@ def c4(spark, sf_dir):
 def q14_after(spark, sf_dir):
     """Key-set page for deep paging: the 20 rows after a given id."""
     return Q.list_customers_after(dashboard_scored(spark, sf_dir), "Customer#000000700", 20, **LISTING_FILTERS)
+
+
+# --- evaluation on labelled documents (quality label, length-based score) ---------------
+def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """labels joined to documents: label = quality, score = n_chars / (n_chars + 1000), class score > 0.5."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    score = F.col("n_chars").cast("double") / (F.col("n_chars") + F.lit(1000.0))
+    return labels.join(docs, "doc_id").select(
+        "doc_id", F.col("quality").alias("label"), score.alias("score"), (score > 0.5).cast("int").alias("prediction"))
+
+
+@register("E1_confusion_matrix_documents")
+def e1_docs(spark, sf_dir):
+    return E.confusion_matrix(document_scores(spark, sf_dir))
+
+
+@register("E3_roc_auc_documents")
+def e3_docs(spark, sf_dir):
+    return E.roc_auc(document_scores(spark, sf_dir))
+
+
+@register("E4_roc_curve_documents")
+def e4_docs(spark, sf_dir):
+    return E.roc_curve(document_scores(spark, sf_dir))
+
+
+@register("E5_classification_report_documents")
+def e5_docs(spark, sf_dir):
+    return E.classification_report(document_scores(spark, sf_dir))
