@@ -23,7 +23,8 @@ from churnlens.functions.columns import shorten
 from churnlens.functions.rounding import round_exact
 from churnlens.operators import metrics as E
 from churnlens.operators.features import (
-    SEED, TEST_SIZE, assembler, feature_names, impute, imputation_values, one_hot_stages, stratified_split,
+    SEED, TEST_SIZE, assembler, class_counts, feature_names, impute, imputation_values, one_hot_stages,
+    stratified_split,
 )
 from churnlens.operators.quality import split_columns
 from churnlens.operators.scoring import risk_factors
@@ -89,7 +90,7 @@ class ChurnModel:
 
 def balanced_weight(df: DataFrame, label: str = LABEL_COL):
     """Weight column n / (classes x class count); class counts are one row per class."""
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    counts = dict(class_counts(df, label))
     n, k = sum(counts.values()), len(counts)
     expr = None
     for lab, cnt in counts.items():
