@@ -143,3 +143,24 @@ def test_unseen_category_and_null(spark):
 def test_missing_model_is_a_clear_error(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="train it first"):
         M.ChurnModel.load(str(tmp_path / "nothing-here"))
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 10, 501])
+def test_exact_median_and_mode_match_spark(spark, n):
+    import random
+
+    rnd = random.Random(n)
+    rows = [(rnd.choice([1.0, 2.0, 2.0, 3.5, None, float(rnd.randint(0, 50))]), rnd.randint(-5, 12),
+             rnd.choice(["a", "b", "b", "c", None])) for _ in range(n)]
+    df = spark.createDataFrame(rows, "x double, y int, s string").repartition(3)
+    med = Fe.exact_medians(df, ["x", "y"])
+    ref = df.agg(F.median("x"), F.median("y")).first()
+    assert (med["x"], med["y"]) == tuple(ref)
+    mode = Fe.exact_modes(df, ["s", "y"])
+    mref = df.agg(F.mode("s", True), F.mode("y", True)).first()
+    assert (mode["s"], mode["y"]) == tuple(mref)
+
+
+def test_mode_ties_compare_numbers_numerically(spark):
+    df = spark.createDataFrame([(9,), (10,), (9,), (10,), (100,)], "y int")
+    assert Fe.exact_modes(df, ["y"]) == {"y": 9}
