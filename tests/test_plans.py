@@ -13,10 +13,7 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-SQL_QUERIES = [k for k in reg.QUERIES if k[0] in "VQCEFD" and not k.startswith(("E6",))]
-
-
-@pytest.mark.parametrize("name", SQL_QUERIES)
+@pytest.mark.parametrize("name", sorted(reg.QUERIES))
 def test_no_python_udf(spark, name):
     plan = plan_of(reg.QUERIES[name](spark, SF_SMALL))
     for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF"):
