@@ -1,5 +1,5 @@
-"""Physical-plan checks: no Python UDFs, broadcast persona lookup, pushed filters, no
-single-partition global window over data rows."""
+"""Physical-plan checks: no Python UDFs and no cross joins in any query, broadcast persona
+lookup, pushed filters, range-partitioned running sums."""
 
 import pytest
 
@@ -18,6 +18,8 @@ def test_no_python_udf(spark, name):
     plan = plan_of(reg.QUERIES[name](spark, SF_SMALL))
     for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF"):
         assert node not in plan, f"{name}: {node}"
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin"):  # no cross joins
+        assert node not in plan, f"{name}: {node}"
 
 
 def test_persona_lookup_is_broadcast(spark):
