@@ -550,3 +550,6 @@ def _on_documents(sql: str) -> str:
 
 for _k in ("E1_confusion_matrix", "E3_roc_auc", "E4_roc_curve", "E5_classification_report"):
     ORACLE[f"{_k}_documents"] = _on_documents(ORACLE[_k])
+
+ORACLE["V6_cast_int"] = f"""WITH {SUBSCRIBERS_RAW}
+SELECT cust_key, CAST(senior_citizen AS INTEGER) AS senior_citizen FROM subscribers_raw"""

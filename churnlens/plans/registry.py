@@ -612,3 +612,8 @@ def e4_docs(spark, sf_dir):
 @register("E5_classification_report_documents")
 def e5_docs(spark, sf_dir):
     return E.classification_report(document_scores(spark, sf_dir))
+
+
+@register("V6_cast_int")
+def v6(spark, sf_dir):
+    return V.cast_int(subscribers(spark, sf_dir)).select("cust_key", "senior_citizen")
