@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from churnlens.session import shared_path
 
 #: Bytes of text that one Python work unit holds at a time.
-UNIT_BYTES = 16 << 20
+UNIT_BYTES = 8 << 20
 #: Bytes of text per shuffle partition.
 PARTITION_BYTES = 24 << 20
 

@@ -139,7 +139,7 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, doc_id: str
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=[f.split()[0] for f in SHARD.split(", ")])
                 at, seq = to, seq + 1
 
-    rows.mapInArrow(task, SHARD).write.parquet(out)
+    rows.mapInArrow(task, SHARD).write.option("parquet.block.size", 16 << 20).parquet(out)
 
 
 def shards(spark: SparkSession, out: str) -> DataFrame:
