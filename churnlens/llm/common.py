@@ -106,6 +106,33 @@ def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=None)[0]
 
 
+_ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+
+def words_of(texts: pa.Array, lower: bool = False) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(joined, starts, ends, first): the words between ASCII white space, end to end with one space after each.
+
+    Word w is joined[starts[w]:ends[w]], so consecutive words of one text are one slice;
+    text i has the words first[i] to first[i + 1]; ``lower`` folds A-Z.
+    """
+    data, offs = byte_view(texts)
+    raw = np.insert(data, offs[1:], 0x20)  # so that texts never touch
+    if lower:
+        raw = np.frombuffer(raw.tobytes().translate(_ASCII_LOWER), np.uint8)
+    offs = offs + np.arange(len(offs))
+    space = IS_SPACE[raw]
+    if not len(raw):
+        return b"", np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
+    closing = np.zeros(len(raw), bool)
+    closing[1:] = space[1:] & ~space[:-1]
+    first = np.searchsorted(np.flatnonzero(closing), offs)
+    kept = ~space | closing
+    ends = np.flatnonzero(closing[kept])
+    joined = np.where(space, np.uint8(0x20), raw)[kept].tobytes()
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    return joined, starts.astype(np.int64), ends.astype(np.int64), first
+
+
 def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The integers of every range [start, start + length), one after another."""
     total = int(lengths.sum())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlens.llm import packing, wavelet_output
+from churnlens.llm import packing, simhash, wavelet_output
 from churnlens.llm.common import read_documents
 
 QUERIES = {}
@@ -26,3 +26,9 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet_output.write_and_read_back(read_documents(spark, sf_dir))
+
+
+@register
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_documents(spark, sf_dir))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
