@@ -79,10 +79,12 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", n_partiti
     counts = score_counts(df, label, score)
     run = prefix_sums(counts, [F.col("threshold").asc()], ["neg"], n_partitions)
     # negatives strictly below this score, plus half of the tied negatives
-    pairs = F.col("pos") * (F.col("cum_neg") - F.col("neg")) + F.col("pos") * F.col("neg") * F.lit(0.5)
+    # (counted twice, in wide decimals: products of counts outgrow a long)
+    wide = {c: F.col(c).cast("decimal(19,0)") for c in ("pos", "neg", "cum_neg")}
+    pairs = wide["pos"] * (wide["cum_neg"] * 2 - wide["neg"]).cast("decimal(19,0)")
     agg = run.agg(F.sum(pairs).alias("u"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return agg.select(F.when((F.col("P") == 0) | (F.col("N") == 0), F.lit(None).cast("double"))
-                      .otherwise(F.col("u") / (F.col("P") * F.col("N"))).alias("roc_auc"))
+                      .otherwise(F.col("u").cast("double") / (F.col("P").cast("double") * F.col("N") * 2)).alias("roc_auc"))
 
 
 def classification_report(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlens.session import default_partitions
+from churnlens.session import default_partitions, ensure_checkpoint_dir
 
 
 def _partitions(df: DataFrame, n: int | None) -> int:
@@ -34,7 +34,10 @@ def prefix_sums(df: DataFrame, order_by: list[Column | str], sums: list[str], n_
     order = [F.col(c) if isinstance(c, str) else c for c in order_by]
     next_cols = list(next_cols or [])
     n = _partitions(df, n_partitions)
-    ranged = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    # checkpointed, since both uses below must see one and the same partitioning: range bounds are
+    # sampled anew for each exchange that the optimizer does not share
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
     within = Window.partitionBy("_part").orderBy(*order)
     running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cols = {f"_loc_{c}": F.sum(c).over(running) for c in sums}

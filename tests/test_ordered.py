@@ -59,3 +59,12 @@ def test_roc_curve_drops_straight_runs(spark):
     df = spark.createDataFrame(rows, "label int, score double")
     pts = [(r.threshold, r.fpr, r.tpr) for r in E.roc_curve(df, n_partitions=3).orderBy(F.desc("threshold")).collect()]
     assert pts == [(float("inf"), 0.0, 0.0), (0.9, 0.0, 0.25), (0.7, 0.0, 0.75), (0.5, 1.0, 0.75), (0.4, 1.0, 1.0)]
+
+
+@pytest.mark.parametrize("parts", [8, 32])
+@pytest.mark.parametrize("extra", [True, False])
+def test_running_sums_beyond_the_sampling_size(spark, parts, extra):
+    df = spark.range(0, 300_000, 1, 8).selectExpr("xxhash64(id) AS k", "1L AS one", "'x' AS other")
+    out = prefix_sums(df if extra else df.select("k", "one"), ["k"], ["one"], parts)
+    got = out.selectExpr("max(cum_one) AS top", "count(DISTINCT cum_one) AS n").first()
+    assert (got["top"], got["n"]) == (300_000, 300_000)
