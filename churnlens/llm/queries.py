@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlens.llm import packing, simhash, wavelet_output
+from churnlens.llm import decontaminate, packing, quality, simhash, wavelet_output
 from churnlens.llm.common import read_documents
 
 QUERIES = {}
@@ -32,3 +32,19 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@register
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+ORACLE["op3_decontaminate"] = decontaminate.oracle()
+
+
+@register
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(read_documents(spark, sf_dir)).drop("lang", "source")
+
+
+ORACLE["op8_quality_rules"] = quality.oracle()
