@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlens.llm import decontaminate, packing, quality, simhash, wavelet_output
+from churnlens.llm import decontaminate, langid, packing, quality, simhash, toxicity, wavelet_output
 from churnlens.llm.common import read_documents
 
 QUERIES = {}
@@ -48,3 +48,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op8_quality_rules"] = quality.oracle()
+
+
+@register
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_documents(spark, sf_dir)).withColumn("langs", F.to_json("langs"))
+
+
+@register
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
