@@ -4,8 +4,8 @@ The kernel compares words by their common three-letter subsequences: an occurren
 s characters weighs ``DECAY`` ** s, spans up to ``SPAN``, normalised to 1 for equal words, so an
 insult with inserted or dropped characters stays close to the plain one.  Landmarks are words of
 the training documents: those whose document frequency differs most between the classes, chosen
-by counts over all training rows.  A document is described by its greatest kernel value with each
-landmark, whitened by the inverse root of the landmarks' own kernel matrix (Nystrom), and scored
+by counts over all training rows.  Alike words give one landmark. A document is described by its
+greatest and its mean (fourth power) kernel value with each landmark, whitened by the inverse root of the landmarks' own kernel matrix (Nystrom), and scored
 by a linear machine trained with the squared hinge; a logistic curve fitted on the margins of
 the training rows turns margins into scores.
 
@@ -32,15 +32,21 @@ from churnlens.llm.langid import fold
 
 DECAY = 0.7
 SPAN = 7
-LANDMARKS = 32
+LANDMARKS = 64
 FIT_ROWS = 20_000
+RIDGE = 1e-4
 #: Longest piece of a word compared at once; a longer word is read in overlapping pieces.
 PIECE = 24
 _CODE = np.zeros(256, np.int64)
 _CODE[0x61:0x7B] = np.arange(1, 27)
 _CODE[0x30:0x3A] = 27
-_CODE[0x80:] = 28 + np.arange(128) % 3
-SYMBOLS = 32
+_CODE[0x80:] = 28 + np.arange(128) % 35
+#: Marks the beginning and the end of a word.
+_CODE[0x20] = 63
+SYMBOLS = 64
+#: Words looked at for each landmark taken, and the kernel value above which two are too alike.
+CANDIDATES = 20
+ALIKE = 0.7
 _GAPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
 
@@ -59,6 +65,7 @@ def pieces(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(codes, end position per symbol, word number per piece start array) of lower-cased words, pieced."""
     cut, owner = [], []
     for w, word in enumerate(words):
+        word = b" " + word + b" "
         for i in range(0, max(len(word) - PIECE // 2, 1), PIECE // 2):
             cut.append(word[i : i + PIECE])
             owner.append(w)
@@ -67,10 +74,11 @@ def pieces(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, lengths, np.array(owner, np.int64)
 
 
-def kernel(words: list[bytes], table: np.ndarray, norm: np.ndarray) -> np.ndarray:
+def kernel(words: list[bytes], table: tuple[np.ndarray, np.ndarray], norm: np.ndarray) -> np.ndarray:
     """Normalised kernel of each word with each landmark, the greatest over the word's pieces."""
     codes, lengths, owner = pieces(words)
-    m = table.shape[1]
+    index, rows = table
+    m = rows.shape[1]
     ends = np.repeat(np.cumsum(lengths), lengths)
     piece = np.repeat(np.arange(len(lengths)), lengths)
     k = np.zeros((len(lengths), m), np.float32)
@@ -84,13 +92,17 @@ def kernel(words: list[bytes], table: np.ndarray, norm: np.ndarray) -> np.ndarra
         new = np.flatnonzero(np.diff(own * SYMBOLS**3 + number, prepend=-1))
         weight, own, number = np.add.reduceat(weight, new), own[new], number[new]
         cut = np.flatnonzero(np.diff(own, prepend=-1))
-        size = np.sqrt(np.add.reduceat(weight * weight, cut))
+        size = np.zeros(len(lengths), np.float32)
+        size[own[cut]] = np.sqrt(np.add.reduceat(weight * weight, cut))
+        shared = index[number] > 0
+        own, number, weight = own[shared], index[number[shared]], weight[shared]
+        cut = np.flatnonzero(np.diff(own, prepend=-1))
         for lo in range(0, len(cut), 4096):
             part = cut[lo : lo + 4096]
             hi = cut[lo + 4096] if lo + 4096 < len(cut) else len(own)
             some = slice(part[0], hi)
-            dots = np.add.reduceat(table[number[some]] * weight[some, None], part - part[0], axis=0)
-            k[own[part]] = dots / size[lo : lo + 4096, None] / norm
+            dots = np.add.reduceat(rows[number[some]] * weight[some, None], part - part[0], axis=0)
+            k[own[part]] = dots / size[own[part]][:, None] / norm
     out = np.zeros((len(words), m), np.float32)
     if len(owner):
         first = np.flatnonzero(np.diff(owner, prepend=-1))
@@ -98,20 +110,27 @@ def kernel(words: list[bytes], table: np.ndarray, norm: np.ndarray) -> np.ndarra
     return out
 
 
-def landmark_table(landmarks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(subsequence weights [SYMBOLS ** 3, landmarks], their norms)."""
-    table = np.zeros((SYMBOLS**3, len(landmarks)), np.float32)
+def landmark_table(landmarks: list[bytes]) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """((row of each subsequence, 0 for those of no landmark; weights [rows, landmarks]), norms of the landmarks)."""
+    number, column, weight = [], [], []
     for j, word in enumerate(landmarks):
-        codes, lengths, _ = pieces([word[:PIECE]])
+        codes, _, _ = pieces([word[: PIECE - 2]])
+        codes = codes[:PIECE]
         for _, sub, w in subsequences(codes, np.full(len(codes), len(codes))):
-            np.add.at(table[:, j], sub, w)
-    return table, np.maximum(np.sqrt((table * table).sum(axis=0)), 1e-9)
+            number.append(sub), column.append(np.full(len(sub), j)), weight.append(np.full(len(sub), w, np.float32))
+    used, at = np.unique(np.concatenate(number), return_inverse=True)
+    index = np.zeros(SYMBOLS**3, np.int32)
+    index[used] = np.arange(1, len(used) + 1)
+    table = np.zeros((len(used) + 1, len(landmarks)), np.float32)
+    np.add.at(table, (at + 1, np.concatenate(column)), np.concatenate(weight))
+    return (index, table), np.maximum(np.sqrt((table * table).sum(axis=0)), 1e-9)
 
 
-def describe(texts: pa.Array, table: np.ndarray, norm: np.ndarray) -> np.ndarray:
-    """Greatest kernel value of any word of each text with each landmark."""
+def describe(texts: pa.Array, table: tuple[np.ndarray, np.ndarray], norm: np.ndarray) -> np.ndarray:
+    """For each text and landmark: the greatest kernel value of any word, then the root of the words' mean fourth power."""
     joined, starts, ends, first = words_of(texts, lower=True)
-    out = np.zeros((len(first) - 1, table.shape[1]), np.float32)
+    m = table[1].shape[1]
+    out = np.zeros((len(first) - 1, 2 * m), np.float32)
     if not len(starts):
         return out
     bounds = np.append(starts, ends[-1] + 1).astype(np.int32)
@@ -124,7 +143,9 @@ def describe(texts: pa.Array, table: np.ndarray, norm: np.ndarray) -> np.ndarray
         part = has[lo : lo + 256]
         at = first[part]
         hi = first[part[-1] + 1]
-        out[part] = np.maximum.reduceat(values[codes[at[0] : hi]], at - at[0], axis=0)
+        v = values[codes[at[0] : hi]]
+        out[part, :m] = np.maximum.reduceat(v, at - at[0], axis=0)
+        out[part, m:] = np.sqrt(np.add.reduceat(v**4, at - at[0], axis=0) / np.diff(first)[part][:, None])
     return out
 
 
@@ -139,7 +160,7 @@ def choose_landmarks(rows: DataFrame, most: int = LANDMARKS) -> list[bytes]:
             a, b = starts.tolist(), ends.tolist()
             for i in range(len(label)):
                 for w in {joined[a[j] : b[j]].strip(b".,;:!?\"'()") for j in range(first[i], first[i + 1])}:
-                    if 3 <= len(w) <= PIECE:
+                    if 3 <= len(w) <= PIECE - 2:
                         seen.setdefault(w, [0, 0])[label[i]] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["word", "clean", "bad"])
 
@@ -147,8 +168,16 @@ def choose_landmarks(rows: DataFrame, most: int = LANDMARKS) -> list[bytes]:
     c, t = max(total["c"] or 0, 1), max(total["t"] or 0, 1)
     share = F.expr(f"(bad / {t}D - clean / {c}D) / sqrt((bad + clean + 1) / {c + t}D)")
     counts = rows.select("text", "toxic").mapInArrow(task, "word binary, clean long, bad long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
-    best = counts.where("bad >= 2").withColumn("s", share).orderBy(F.desc("s"), "word").limit(most).collect()
-    return [bytes(r["word"]) for r in best]
+    best = counts.where("bad >= 2").withColumn("s", share).orderBy(F.desc("s"), "word").limit(most * CANDIDATES).collect()
+    words = [bytes(r["word"]) for r in best]
+    if not words:
+        return []
+    alike = np.concatenate([kernel(words, *landmark_table(words[i : i + 64])) for i in range(0, len(words), 64)], axis=1)
+    taken: list[int] = []
+    for i in range(len(words)):
+        if len(taken) < most and (not taken or alike[i, taken].max() < ALIKE):
+            taken.append(i)
+    return [words[i] for i in taken]
 
 
 def train(rows: DataFrame, landmarks: int = LANDMARKS, fit_rows: int = FIT_ROWS) -> dict:
@@ -170,11 +199,12 @@ def train(rows: DataFrame, landmarks: int = LANDMARKS, fit_rows: int = FIT_ROWS)
     own = kernel(words, table, norm).astype(float)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
-    z = np.hstack([x @ root, np.ones((len(x), 1))])
+    m = len(words)
+    z = np.hstack([x[:, :m] @ root, x[:, m:] @ root, np.ones((len(x), 1))])
     sign = 2.0 * y - 1
     share = np.where(y == 1, 0.5 / max((y == 1).mean(), 1e-9), 0.5 / max((y == 0).mean(), 1e-9)) / len(y)
     w = np.zeros(z.shape[1])
-    ridge = np.diag([*[1e-4] * (z.shape[1] - 1), 1e-9])
+    ridge = np.diag([*[RIDGE] * (z.shape[1] - 1), 1e-9])
     for _ in range(50):  # Newton steps of the squared hinge
         inside = sign * (z @ w) < 1
         a = z[inside] * share[inside, None]
@@ -188,7 +218,7 @@ def train(rows: DataFrame, landmarks: int = LANDMARKS, fit_rows: int = FIT_ROWS)
         f = np.stack([margin, np.ones_like(margin)], axis=1)
         h = (f * (q * (1 - q))[:, None]).T @ f + 1e-3 * np.eye(2)
         ab = ab + np.linalg.solve(h, f.T @ (y - q) - 1e-3 * ab)
-    return model | {"weights": np.append(root @ w[:-1], w[-1]), "curve": ab, "table": table, "norm": norm}
+    return model | {"weights": np.concatenate([root @ w[:m], root @ w[m:-1], w[-1:]]), "curve": ab, "table": table, "norm": norm}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
