@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlens.llm import decontaminate, langid, packing, quality, simhash, toxicity, wavelet_output
+from churnlens.llm import decontaminate, langid, packing, quality, simhash, substring_dedup, suffix_dedup, toxicity, wavelet_output
 from churnlens.llm.common import read_documents
 
 QUERIES = {}
@@ -58,3 +58,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@register
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read_documents(spark, sf_dir)).drop("kept_text")
+
+
+@register
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_documents(spark, sf_dir)).drop("kept_text")
