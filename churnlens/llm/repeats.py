@@ -51,7 +51,7 @@ def grams(values: np.ndarray, width: int) -> np.ndarray:
         if size > width:
             break
         power = power[: len(power) - size // 2] * factor + power[size // 2 :]
-        factor = factor * factor
+        factor = np.uint64(int(factor) ** 2 % (1 << 64))
     n = max(len(values) - width + 1, 0)
     return mixed(out[:n])
 
