@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlens.llm import decontaminate, langid, packing, quality, simhash, substring_dedup, suffix_dedup, toxicity, wavelet_output
+from churnlens.llm import decontaminate, langid, licenses, packing, quality, simhash, substring_dedup, suffix_dedup, toxicity, wavelet_output
 from churnlens.llm.common import read_documents
 
 QUERIES = {}
@@ -68,3 +68,8 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_documents(spark, sf_dir)).drop("kept_text")
+
+
+@register
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_documents(spark, sf_dir))
