@@ -60,7 +60,7 @@ def text_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
 
 def _value(name: str) -> str:
     top, below, scale, _, _ = FEATURES[name]
-    return f"{top} * {scale}L div {below}"
+    return f"{top} * {scale}L div nullif({below}, 0)"
 
 
 def sketches(features: DataFrame) -> DataFrame:
