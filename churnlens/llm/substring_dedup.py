@@ -26,19 +26,24 @@ from churnlens.llm.common import words_of
 from churnlens.llm.repeats import covered, cut, exchange, flag_runs, keyed, packed_runs
 
 WINDOW = 20
-GRAM = 3
+GRAM = 6
 
 
-def _pack(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+def _runs(texts: pa.Array) -> tuple:
+    """(text number, first window, windows, minimiser, places) of each run, and the function that packs runs."""
     joined, starts, ends, first = words_of(texts)
     if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        return *[np.zeros(0, np.int64)] * 5, lambda some: []
     bounds = np.append(starts, ends[-1] + 1).astype(np.int32)
     coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(joined)]).dictionary_encode()
     hashes = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)[coded.indices.to_numpy()]
-    owner, at, count, least = packed_runs(hashes, first, WINDOW, GRAM)
-    a, b = starts[at].tolist(), ends[at + count + WINDOW - 2].tolist()
-    return owner, at - first[owner], least, [joined[x:y] for x, y in zip(a, b)]
+    owner, at, count, least, places = packed_runs(hashes, first, WINDOW, GRAM)
+
+    def pack(some: np.ndarray) -> list[bytes]:
+        a, b = starts[at[some]].tolist(), ends[at[some] + count[some] + WINDOW - 2].tolist()
+        return [joined[x:y] for x, y in zip(a, b)]
+
+    return owner, at - first[owner], count, least, places, pack
 
 
 def _judge(rows: Iterator[tuple]) -> Iterator[tuple[int, int, int, int]]:
@@ -63,7 +68,7 @@ _judge.order = ("k1", "k2", "start")
 
 def remove_repeats(docs: DataFrame, columns: list[str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``columns`` with n_words, n_removed, kept_text (kept words joined by one space) and its kept_sha256."""
-    runs = exchange(keyed(docs, doc_id, text), _pack, _judge)
+    base = keyed(docs, columns or [doc_id], doc_id, text)
 
     def one(raw: bytes, found: list[dict] | None) -> tuple[int, int, str, str]:
         joined, starts, ends, _ = words_of(pa.array([raw], pa.binary()))
@@ -71,4 +76,4 @@ def remove_repeats(docs: DataFrame, columns: list[str] | None = None, doc_id: st
         kept = b" ".join(joined[a:b] for a, b in zip(starts[~gone].tolist(), ends[~gone].tolist()))
         return len(starts), int(gone.sum()), kept.decode("utf-8", "replace"), hashlib.sha256(kept).hexdigest()
 
-    return cut(docs, runs, one, "n_words long, n_removed long, kept_text string, kept_sha256 string", columns or [doc_id], doc_id, text)
+    return cut(base, exchange(base, _runs, _judge), one, "n_words long, n_removed long, kept_text string, kept_sha256 string")

@@ -101,12 +101,16 @@ def repeated_places(strings: list[bytes], width: int = WIDTH) -> list[np.ndarray
     return [hit[e - n : e - width + 1] for e, n in zip(ends.tolist(), sizes.tolist())]
 
 
-def _pack(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+def _runs(texts: pa.Array) -> tuple:
+    """(text number, first window, windows, minimiser, places) of each run, and the function that packs runs."""
     data, offs = byte_view(texts)
-    owner, at, count, least = packed_runs(_BYTES[data], offs, WIDTH, GRAM)
-    raw = data.tobytes()
-    strings = [raw[x:y] for x, y in zip(at.tolist(), (at + count + WIDTH - 1).tolist())]
-    return owner, at - offs[owner], least, strings
+    owner, at, count, least, places = packed_runs(_BYTES[data], offs, WIDTH, GRAM)
+
+    def pack(some: np.ndarray) -> list[bytes]:
+        raw = data.tobytes()
+        return [raw[x:y] for x, y in zip(at[some].tolist(), (at[some] + count[some] + WIDTH - 1).tolist())]
+
+    return owner, at - offs[owner], count, least, places, pack
 
 
 def _may_repeat(s: bytes) -> bool:
@@ -158,11 +162,11 @@ _judge.order = ("packed", "k1", "k2", "start")
 
 def remove_repeats(docs: DataFrame, columns: list[str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``columns`` with n_bytes, n_removed, n_spans, kept_text and the kept_sha256 of the kept bytes."""
-    runs = exchange(keyed(docs, doc_id, text), _pack, _judge)
+    base = keyed(docs, columns or [doc_id], doc_id, text)
 
     def one(raw: bytes, found: list[dict] | None) -> tuple[int, int, int, str, str]:
         gone = covered(found, len(raw), WIDTH)
         kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if found else raw
         return len(raw), int(gone.sum()), sum(1 for _ in flag_runs(gone)), kept.decode("utf-8", "ignore"), hashlib.sha256(kept).hexdigest()
 
-    return cut(docs, runs, one, "n_bytes long, n_removed long, n_spans long, kept_text string, kept_sha256 string", columns or [doc_id], doc_id, text)
+    return cut(base, exchange(base, _runs, _judge), one, "n_bytes long, n_removed long, n_spans long, kept_text string, kept_sha256 string")
