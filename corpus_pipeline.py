@@ -34,11 +34,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that occur elsewhere too; n_chars is counted anew."""
-    left = suffix_dedup.remove_repeats(docs.withColumn("_row", F.struct(*docs.columns)), ["_row"])
+    others = [c for c in docs.columns if c != "text"]
+    left = suffix_dedup.remove_repeats(docs.withColumn("_row", F.struct(*others)), ["_row"])
     left = left.where(F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
-    changed = F.col("n_removed") > 0
-    own = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("_row.text")),
-           "n_chars": F.when(changed, F.length("kept_text")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)}
+    own = {"text": F.col("kept_text"),
+           "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)}
     return left.select(*[own.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
