@@ -36,29 +36,43 @@ UNIT = 1 << 18
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def suffix_order(symbols: np.ndarray) -> np.ndarray:
-    """The suffixes in order, by prefix doubling until all differ."""
+def suffix_order(symbols: np.ndarray, width: int) -> np.ndarray:
+    """The suffixes in order of their first ``width`` symbols or more, by prefix doubling of those still tied.
+
+    Intervals of prefixes up to ``width`` are the same however longer ties are ordered.
+    """
     n = len(symbols)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    step = 1
+    base = int(symbols.max()) + 2
+    step, key = 1, symbols + 1
+    while step < width and base ** (step + 1) < 1 << 62:
+        key = key * base
+        key[: max(n - step, 0)] += symbols[step:] + 1
+        step += 1
+    order = np.argsort(key)
+    rank, slots = np.empty(n, np.int64), np.arange(n)
+    elements, key = order, key[order]
     while True:
-        ahead = np.zeros(n, np.int64)
-        if step < n:
-            ahead[: n - step] = rank[step:] + 1
-        key = rank * (n + 1) + ahead
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        rank[elements] = slots[np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))]
+        tied = ~first
+        tied[:-1] |= ~first[1:]
+        slots = slots[tied]
+        if step >= width or not len(slots):
             return order
+        elements = order[slots]
+        ahead = elements + step
+        key = rank[elements] * (n + 1) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        elements, key = elements[by], key[by]
+        order[slots] = elements
         step *= 2
 
 
 def long_prefixes(symbols: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(order, same): same[i] tells whether suffixes order[i - 1] and order[i] share ``width`` symbols or more."""
     n = len(symbols)
-    order = suffix_order(symbols)
+    order = suffix_order(symbols, width)
     before = symbols[order - 1]
     step = np.empty(n, np.int64)  # where the suffix one symbol longer stands
     step[np.argsort(before, kind="stable")] = np.arange(n)
