@@ -157,7 +157,7 @@ def feature_importance(spark: SparkSession, model: ChurnModel) -> DataFrame:
     """(feature, importance, rank) from the tree's importances."""
     imps = model.importances()
     if len(imps) != len(model.names):
-        raise ValueError(f"Importance length ({len(imps)}) != feature names ({len(model.names)})")
+        raise ValueError(f"the model has {len(model.names)} feature names and {len(imps)} importances")
     rows = [(n, float(v), 0) for n, v in zip(model.names, imps)]
     return rank_drivers(spark.createDataFrame(rows, DRIVER_SCHEMA).drop("rank"))
 

@@ -152,10 +152,10 @@ def filter_churn(df: DataFrame, churn: str | None) -> DataFrame:
 
 
 def filter_risk(df: DataFrame, risk_level: str | None) -> DataFrame:
-    """Q12: case-insensitive equality on the risk level."""
+    """Q12: equality on the risk level, the given value in any case (pushed into the scan)."""
     if not risk_level:
         return df
-    return df.filter(F.lower(F.col("risk_level")) == risk_level.strip().lower())
+    return df.filter(F.col("risk_level") == risk_level.strip().capitalize())
 
 
 def filter_persona(df: DataFrame, persona: str | None) -> DataFrame:
@@ -192,18 +192,23 @@ def list_customers(df: DataFrame, page: int = 1, page_size: int = 20, **filters)
         raise ValueError("page_size must be within 1..100")
     view = filter_customers(df, **filters)
     cols = [c for c in LISTING_COLUMNS if c in view.columns]
-    rows = view.select(*cols).orderBy(ID_COL).offset((page - 1) * page_size).limit(page_size)
+    rows = view.select(*cols).orderBy(ID_COL, *[c for c in cols if c != ID_COL]).offset((page - 1) * page_size).limit(page_size)
     total = view.agg(F.count(F.lit(1)).alias("total"))
     return rows, total
 
 
-def list_customers_after(df: DataFrame, last_id: str | None, page_size: int = 20, **filters) -> DataFrame:
-    """Key-set page: the next ``page_size`` rows with id greater than ``last_id``."""
+def list_customers_after(df: DataFrame, last_id: str | None, page_size: int = 20, shown: int = 0, **filters) -> DataFrame:
+    """Key-set page: the next ``page_size`` rows after ``last_id``, null ids first.
+
+    Where an id can repeat, ``shown`` tells how many rows of ``last_id`` were shown so far
+    (with ``last_id=None``: of the null ids); rows of one id stand in order of their columns.
+    """
     view = filter_customers(df, **filters)
     if last_id is not None:
-        view = view.filter(F.col(ID_COL) > last_id)
+        view = view.filter(F.col(ID_COL) >= last_id if shown else F.col(ID_COL) > last_id)
     cols = [c for c in LISTING_COLUMNS if c in view.columns]
-    return view.select(*cols).orderBy(ID_COL).limit(page_size)
+    page = view.select(*cols).orderBy(ID_COL, *[c for c in cols if c != ID_COL])
+    return (page.offset(shown) if shown else page).limit(page_size)
 
 
 def page_count(total, page_size: int) -> Column:

@@ -37,7 +37,7 @@ def start_prediction_stream(spark: SparkSession, source: str, schema: StructType
     out = out_dir.rstrip("/")
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        checked = V.check_constraints(batch).persist()  # read once, written to two sinks
+        checked = V.check_constraints(V.trim_flags(batch)).persist()  # read once, written to two sinks
         try:
             preds, bad = predict_microbatch(checked, art)
             preds.write.mode("overwrite").parquet(f"{out}/predictions/epoch={epoch}")

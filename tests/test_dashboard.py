@@ -73,3 +73,14 @@ def test_invalid_regex_is_a_clear_error(spark):
         Q.search_customers(_scored(spark), "a[")
     with pytest.raises(ValueError, match="Invalid search pattern"):
         Q.filter_persona(_scored(spark), "(unclosed")
+
+
+def test_key_set_pages_keep_repeated_ids(spark):
+    rows = [(None, 1), (None, 2), ("a", 1), ("b", 1), ("b", 2), ("b", 2), ("c", 1)]
+    df = spark.createDataFrame(rows, "customer_id string, tenure int")
+    got, last, shown = [], None, 0
+    while page := [tuple(r) for r in Q.list_customers_after(df, last, 2, shown).collect()]:
+        got += page
+        last = page[-1][0]
+        shown = sum(1 for r in got if r[0] == last)
+    assert got == rows
