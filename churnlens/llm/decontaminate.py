@@ -23,7 +23,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import materialised
+from churnlens.llm.common import materialised, row_key
 
 #: Characters that part words, after A-Z are folded.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -39,7 +39,7 @@ def words_column(text: str) -> Column:
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("k1"),
-                       F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("k2"), words_column(text).alias("w"))
+                       row_key(doc_id, text)[1].alias("k2"), words_column(text).alias("w"))
 
 
 def item_windows(items: DataFrame, window: int = WINDOW, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -93,8 +93,9 @@ def vocabulary(windows: DataFrame) -> DataFrame:
     return materialised(each.withColumn("term_id", F.monotonically_increasing_id()), "test-vocabulary")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: n_words, n_hit (words inside a test window), n_items, items_sha256, contaminated."""
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", keyed: bool = False) -> DataFrame:
+    """One row per document: n_words, n_hit (words inside a test window), n_items, items_sha256, contaminated;
+    ``keyed`` adds the text_key of ``row_key``, which with the id tells the row."""
     windows = item_windows(items, window)
     terms = vocabulary(windows)
     index = build_index(docs, terms, doc_id, text)
@@ -108,7 +109,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_i
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
                       F.coalesce(F.array_size("items"), F.lit(0)).cast("long").alias("n_items"),
                       F.sha2(F.coalesce(F.concat_ws(",", "items"), F.lit("")), 256).alias("items_sha256"),
-                      F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
+                      F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"), *([F.col("k2").alias("text_key")] if keyed else []))
 
 
 def oracle() -> str:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import materialised, units, words_of
+from churnlens.llm.common import materialised, row_key, units, words_of
 from churnlens.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -69,15 +69,17 @@ def text_fingerprints(texts: pa.Array, shingle_words: int = SHINGLE_WORDS) -> np
     return np.packbits(set_bits, axis=1).view(">u8").reshape(-1).astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): fingerprints as signed longs."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp): fingerprints as signed longs; ``keyed`` adds the text_key of ``row_key``."""
+    names = ["doc_id", "text_key"] if keyed else ["doc_id"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in units(batches, "text"):
             fp = text_fingerprints(unit.column("text"), shingle_words)
-            yield pa.RecordBatch.from_arrays([unit.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(unit.column(c) for c in names), pa.array(fp.view(np.int64))], names=[*names, "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(task, "doc_id long, fp long")
+    rows = docs.select(*row_key(doc_id, text)[: len(names)], F.col(text).alias("text"))
+    return rows.mapInArrow(task, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 def _syndromes() -> np.ndarray:
@@ -213,12 +215,26 @@ def expand_pairs(cut: np.ndarray, homes: np.ndarray, visitors: np.ndarray, most:
         at = to
 
 
+def _labelled(least: DataFrame, threshold: int) -> DataFrame:
+    """The rows (fp, least) with the ``label`` of their component."""
+    found = connected_components(links(least, threshold))
+    return least.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle_words: int = SHINGLE_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): the smallest id reachable over links of fingerprints."""
     marked = materialised(fingerprints(docs, doc_id, text, shingle_words), "simhash")
     least = materialised(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    found = connected_components(links(least, threshold))
-    labelled = least.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    labelled = _labelled(least, threshold)
     heads = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     named = labelled.join(heads, "label").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def survivors(docs: DataFrame, threshold: int = THRESHOLD, shingle_words: int = SHINGLE_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_key): one row identity for each component, of its smallest id, a null id only among null ids."""
+    marked = fingerprints(docs, doc_id, text, shingle_words, keyed=True)
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")
+    least = materialised(marked.groupBy("fp").agg(F.min(first).alias("least")), "simhash-distinct")
+    heads = _labelled(least, threshold).groupBy("label").agg(F.min("least").alias("head"))
+    return heads.select("head.doc_id", "head.text_key")

@@ -3,7 +3,9 @@
 language ID -> SimHash near-duplicates -> suffix-array dedup -> benchmark decontamination -> packing
 
 Defined results: a stage keeps rows with any null but the text's as they are; null and letterless
-texts end at language ID; rows that repeat wholly count as one document; a document that
+texts end at language ID; near-duplicates
+and leaks are told by id and text, so rows that share an id or have none stay apart, and rows equal
+in both count as one document; a document that
 suffix-array dedup leaves without text ends there; an empty table passes through empty.
 """
 
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.llm import decontaminate, langid, packing, simhash, suffix_dedup
-from churnlens.llm.common import materialised, read_documents
+from churnlens.llm.common import materialised, read_documents, row_key
 
 #: A document is rejected if its foremost language has less than this proportion.
 MIN_SCORE = 0.4
@@ -26,10 +28,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select("row.*")
 
 
+def _identified(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text_key): whole rows beside their identity, so that no column can clash."""
+    return docs.select(F.struct(*docs.columns).alias("row"), *row_key())
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one whose id names it."""
-    heads = simhash.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_head")).distinct()
-    return docs.join(heads, F.expr("doc_id <=> _head"), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each component: the one of the smallest id, and of its texts the one of the least hash."""
+    heads = simhash.survivors(docs).select(F.col("doc_id").alias("_head"), F.col("text_key").alias("_key"))
+    kept = _identified(docs).join(heads, F.expr("doc_id <=> _head AND text_key = _key"), "left_semi")
+    # rows of one identity may differ in other columns: the least one stays
+    return kept.groupBy("doc_id", "text_key").agg(F.min("row").alias("row")).select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +54,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark window."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    bad = decontaminate.decontaminate(docs, items).where("contaminated").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, F.expr("doc_id <=> _bad"), "left_anti")
+    bad = decontaminate.decontaminate(docs, items, keyed=True).where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("text_key").alias("_key"))
+    return _identified(docs).join(bad, F.expr("doc_id <=> _bad AND text_key = _key"), "left_anti").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
