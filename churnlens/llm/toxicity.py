@@ -9,8 +9,9 @@ greatest and its mean (fourth power) kernel value with each landmark, whitened b
 by a linear machine trained with the squared hinge; a logistic curve fitted on the margins of
 the training rows turns margins into scores.
 
-The machine is fitted on at most ``FIT_ROWS`` labelled training rows (a documented bound, those
-with the least hash of id and text); word counts use all of them.
+The machine is fitted on at most ``FIT_ROWS`` labelled training rows (a documented bound): of each
+class those with the least hash of id and text, half of the bound or what the other class leaves;
+rows are weighted by their class's share of all training rows.  Word counts use all of them.
 
 Defined results: null and empty text describe as zeros and get the score of that vector;
 rows without a label never train; with one class only, or none, every score is that class's
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import expand, units, words_of
+from churnlens.llm.common import materialised, units, words_of
 from churnlens.llm.langid import fold
 
 DECAY = 0.7
@@ -180,12 +181,21 @@ def choose_landmarks(rows: DataFrame, most: int = LANDMARKS) -> list[bytes]:
     return [words[i] for i in taken]
 
 
+def class_bounds(clean: int, bad: int, most: int) -> tuple[int, int]:
+    """Rows of each class in a sample of ``most`` rows: half each, and what the smaller class leaves."""
+    half = max(most // 2, 1)
+    return min(clean, max(half, most - bad)), min(bad, max(most - half, most - clean, 1))
+
+
 def train(rows: DataFrame, landmarks: int = LANDMARKS, fit_rows: int = FIT_ROWS) -> dict:
-    """The model of labelled rows (text, toxic)."""
-    rows = rows.where("toxic IN (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"))
+    """The model of labelled rows (doc_id, text, toxic)."""
+    # written once: counts, words and sample read it, and none joins again
+    rows = materialised(rows.where("toxic IN (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), "toxicity-rows")
+    total = rows.agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("bad")).first()
+    counts = (total["clean"], total["bad"])
     words = choose_landmarks(rows, landmarks)
-    model = {"landmarks": words, "weights": None, "rate": rows.agg(F.avg("toxic")).first()[0] or 0.0}
-    if not words or model["rate"] in (0.0, 1.0):
+    model = {"landmarks": words, "weights": None, "rate": counts[1] / sum(counts) if sum(counts) else 0.0}
+    if not words or not all(counts):
         return model
     table, norm = landmark_table(words)
 
@@ -194,8 +204,14 @@ def train(rows: DataFrame, landmarks: int = LANDMARKS, fit_rows: int = FIT_ROWS)
             x = describe(unit.column("text"), table, norm)
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float32())), unit.column("toxic")], names=["x", "toxic"])
 
-    sample = rows.orderBy(F.xxhash64("text")).limit(fit_rows).mapInArrow(task, "x array<float>, toxic int").toArrow()
+    least = [rows.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(n) for c, n in enumerate(class_bounds(*counts, fit_rows))]
+    sample = least[0].unionByName(least[1]).mapInArrow(task, "x array<float>, toxic int").toArrow()
     x, y = np.array(sample.column("x").to_pylist()), np.array(sample.column("toxic").to_pylist())
+    taken = np.bincount(y, minlength=2)
+    if not taken.all():
+        raise ValueError(f"rows of one class only in the sample: {taken.tolist()} of {counts}")
+    # what a row of the sample stands for, 1 on average
+    stands = (np.array(counts) / taken * (len(y) / sum(counts)))[y]
     own = kernel(words, table, norm).astype(float)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
@@ -216,8 +232,8 @@ def train(rows: DataFrame, landmarks: int = LANDMARKS, fit_rows: int = FIT_ROWS)
     for _ in range(50):  # logistic curve over the margins
         q = 1 / (1 + np.exp(-np.clip(ab[0] * margin + ab[1], -30, 30)))
         f = np.stack([margin, np.ones_like(margin)], axis=1)
-        h = (f * (q * (1 - q))[:, None]).T @ f + 1e-3 * np.eye(2)
-        ab = ab + np.linalg.solve(h, f.T @ (y - q) - 1e-3 * ab)
+        h = (f * (stands * q * (1 - q))[:, None]).T @ f + 1e-3 * np.eye(2)
+        ab = ab + np.linalg.solve(h, f.T @ (stands * (y - q)) - 1e-3 * ab)
     return model | {"weights": np.concatenate([root @ w[:m], root @ w[m:-1], w[-1:]]), "curve": ab, "table": table, "norm": norm}
 
 
