@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from churnlens.operators.features import SEED, fit_encoding, standardizer_stages
 from churnlens.operators.quality import split_columns
-from churnlens.session import default_partitions, ensure_checkpoint_dir
+from churnlens.session import ensure_checkpoint_dir
 from churnlens.sources.schema import ID_COL, LABEL_COL
 
 N_INIT = 10  # fixed: starts per k (best by inertia)
@@ -82,8 +82,8 @@ def cluster_matrix(df: DataFrame, numeric: list[str] | None = None, categorical:
 
 
 def layout_partitions(spark, n_rows: int) -> int:
-    """Partitions for the k-means matrix: by row count, at most two per task slot."""
-    return max(1, min(default_partitions(spark), -(-n_rows // ROWS_PER_PARTITION)))
+    """Partitions for the k-means matrix: a function of the row count alone, so clusters do not change with the cluster's size."""
+    return max(1, -(-n_rows // ROWS_PER_PARTITION))
 
 
 def canonical_layout(vectors: DataFrame, key: str, n_partitions: int | None = None) -> DataFrame:
@@ -94,7 +94,7 @@ def canonical_layout(vectors: DataFrame, key: str, n_partitions: int | None = No
     the layout depends only on the keys and ``n_partitions``, so one seed gives one
     result whatever the upstream partitioning was.
     """
-    n = n_partitions or default_partitions(vectors.sparkSession)
+    n = n_partitions or layout_partitions(vectors.sparkSession, vectors.count())
     return vectors.repartition(n, key).sortWithinPartitions(key)
 
 
@@ -150,33 +150,41 @@ def inertia(df: DataFrame, vec: str, cluster: str) -> DataFrame:
     return st.agg(F.sum(F.col("q") - _sq(F.col("s")) / F.col("n")).alias("inertia"))
 
 
-MAX_CLUSTERS = 10_000  # bound on the cluster table embedded in per-row expressions
+MAX_CLUSTERS = 10_000  # clusters embedded in per-row expressions; larger cluster tables are joined
 
 
-def small_rows(df: DataFrame, limit: int = MAX_CLUSTERS) -> list:
-    """Collect a table whose size is bounded by the cluster count; fail past ``limit``."""
+def few_rows(df: DataFrame, limit: int = MAX_CLUSTERS) -> list | None:
+    """The rows of a cluster table, or None past ``limit``."""
     rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"expected at most {limit} clusters, found more")
-    return rows
+    return rows if len(rows) <= limit else None
+
+
+def cluster_chunks(table: DataFrame, limit: int) -> list[DataFrame]:
+    """A written cluster table as one-row tables (``_chunk``: its rows as structs), of about ``limit`` clusters each."""
+    n = -(-table.count() // limit)
+    place = F.pmod(F.xxhash64("cid"), F.lit(n))
+    return [table.where(place == i).agg(F.collect_list(F.struct(*table.columns)).alias("_chunk")) for i in range(n)]
 
 
 def _lit_array(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def silhouette(df: DataFrame, vec: str, cluster: str) -> DataFrame:
+def silhouette(df: DataFrame, vec: str, cluster: str, limit: int = MAX_CLUSTERS) -> DataFrame:
     """K4: mean silhouette with squared Euclidean distance; a singleton cluster scores 0.
 
     Mean squared distance from x to the members of cluster c is
     (n_c |x|^2 - 2 x.S_c + Q_c) / n_c, and over n_c - 1 for x's own cluster.  The k
-    cluster sums (bounded by k x dimension) are computed by one aggregate and enter
-    the per-row expression as literals.
+    cluster sums (k x dimension) are computed by one aggregate and enter the per-row
+    expression as literals; past ``limit`` clusters they are joined as tables.
     """
-    stats = small_rows(cluster_stats(df, vec, cluster))
+    table = cluster_stats(df, vec, cluster)
+    stats = few_rows(table, limit)
     x = vector_to_array(F.col(vec)) if dict(df.dtypes)[vec] == "vector" else F.col(vec).cast("array<double>")
     pts = df.select(F.col(cluster).cast("int").alias("own"), x.alias("x"))
     xx = _sq(F.col("x"))
+    if stats is None:
+        return _joined_silhouette(pts, table, limit)
     d = F.array(*[
         F.struct(F.lit(int(r["cid"])).alias("cid"), F.lit(int(r["n"])).alias("n"),
                  (F.lit(float(r["n"])) * xx - 2.0 * _dot(F.col("x"), _lit_array(r["s"])) + F.lit(float(r["q"]))).alias("tot"))
@@ -190,20 +198,48 @@ def silhouette(df: DataFrame, vec: str, cluster: str) -> DataFrame:
     return pts.select(s.alias("s")).agg(F.avg("s").alias("silhouette"))
 
 
+def _joined_silhouette(pts: DataFrame, table: DataFrame, limit: int) -> DataFrame:
+    """``silhouette`` of (own, x) with the cluster sums as tables: the own ones by id, the others a chunk at a time."""
+    ensure_checkpoint_dir(pts.sparkSession)
+    table = table.checkpoint()
+    x, xx = F.col("x"), _sq(F.col("x"))
+
+    def total(n: Column, s: Column, q: Column) -> Column:
+        return n.cast("double") * xx - 2.0 * _dot(x, s) + q
+
+    d = pts.join(table.withColumnRenamed("cid", "own"), "own")
+    d = d.select("own", "x", "n", F.when(F.col("n") > 1, total(F.col("n"), F.col("s"), F.col("q")) / (F.col("n") - 1)).alias("a"), F.lit(None).cast("double").alias("b"))
+    for chunk in cluster_chunks(table, limit):
+        others = F.transform(F.filter("_chunk", lambda e: e["cid"] != F.col("own")), lambda e: total(e["n"], e["s"], e["q"]) / e["n"])
+        d = d.crossJoin(F.broadcast(chunk)).select("own", "x", "n", "a", F.least("b", F.array_min(others)).alias("b"))
+    s = F.when((F.col("n") <= 1) | F.col("b").isNull(), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return d.select(s.alias("s")).agg(F.avg("s").alias("silhouette"))
+
+
 def centroids(df: DataFrame, vec: str, cluster: str) -> DataFrame:
     """Mean vector per cluster (k rows): (cid, centre array<double>)."""
     st = cluster_stats(df, vec, cluster)
     return st.select("cid", F.transform("s", lambda v: v / F.col("n")).alias("centre"))
 
 
-def assign_cluster(df: DataFrame, vec: str, centres: DataFrame, out: str = "cluster_id") -> DataFrame:
+def assign_cluster(df: DataFrame, vec: str, centres: DataFrame, out: str = "cluster_id",
+                   limit: int = MAX_CLUSTERS) -> DataFrame:
     """K6: nearest centre by squared distance; ties go to the smaller id.
 
-    ``centres`` (cid, centre) has one row per cluster (checked bound); the centres
-    enter the per-row expression as literals, so no join is needed.
+    ``centres`` (cid, centre) has one row per cluster; the centres enter the per-row
+    expression as literals, past ``limit`` clusters as tables, a chunk at a time.
     """
-    rows = small_rows(centres)
+    rows = few_rows(centres, limit)
     x = vector_to_array(F.col(vec)) if dict(df.dtypes)[vec] == "vector" else F.col(vec).cast("array<double>")
+    if rows is None:
+        ensure_checkpoint_dir(df.sparkSession)
+        near = F.lit(None).cast("struct<d:double,cid:int>")
+        d = df.select(F.struct(*df.columns).alias("_row"), x.alias("_x"), near.alias("_near"))
+        for chunk in cluster_chunks(centres.select(F.col("cid").cast("int").alias("cid"), "centre").checkpoint(), limit):
+            gaps = F.transform("_chunk", lambda e: F.struct(F.aggregate(F.zip_with("_x", e["centre"], lambda a, b: (a - b) * (a - b)),
+                                                                        F.lit(0.0), lambda acc, v: acc + v).alias("d"), e["cid"].alias("cid")))
+            d = d.crossJoin(F.broadcast(chunk)).select("_row", "_x", F.least("_near", F.array_min(gaps)).alias("_near"))
+        return d.select("_row.*", "_near").withColumn(out, F.col("_near.cid")).drop("_near")
     dist = F.array(*[
         F.struct(F.aggregate(F.zip_with(x, _lit_array(r["centre"]), lambda a, b: (a - b) * (a - b)), F.lit(0.0),
                              lambda acc, v: acc + v).alias("d"), F.lit(int(r["cid"])).alias("cid"))
