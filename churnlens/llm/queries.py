@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlens.llm import decontaminate, langid, licenses, packing, quality, simhash, substring_dedup, suffix_dedup, toxicity, wavelet_output
+from churnlens.llm import (decontaminate, grouped_packing, langid, licenses, packing, quality, resampling, simhash, source_audit, substring_dedup, suffix_dedup,
+                           toxicity, wavelet_output)
 from churnlens.llm.common import read_documents
 
 QUERIES = {}
@@ -73,3 +74,25 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_documents(spark, sf_dir))
+
+
+@register
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("n_words")
+
+
+ORACLE["op11_resampling"] = resampling.oracle()
+
+
+@register
+def op12_grouped_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = grouped_packing.pack_documents(read_documents(spark, sf_dir))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@register
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(read_documents(spark, sf_dir))
+
+
+ORACLE["op13_source_audit"] = source_audit.oracle()
