@@ -1,70 +1,111 @@
 """Exact running sums over a global order without a single-partition window.
 
-``sum(x) OVER (ORDER BY k)`` with no PARTITION BY moves every row into one task.
-Here the rows are range-partitioned on the order key (sampled bounds, so hot value
-ranges are split), each partition computes its own running sums, and the per-partition
-totals (one row per partition, a size known up front) are turned into offsets and
-broadcast back.  The result is exact and every step is parallel.
+``sum(x) OVER (ORDER BY k)`` with no PARTITION BY moves every row into one task.  Here the
+rows are dealt to buckets by a pure expression of their key (bounds from one quantile
+sketch, entered as literals), so every use of the frame sees the same buckets whatever the
+cluster, the layout or a recomputed task.  A first aggregate gives the buckets' totals, the
+running sums inside each bucket are one window, and the totals before a bucket enter as a
+literal array.  The number of buckets follows from the number of rows alone.
 """
 
 from __future__ import annotations
 
+import re
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlens.session import default_partitions, ensure_checkpoint_dir
+ROWS_PER_BUCKET = 1_000_000
+MAX_BUCKETS = 1024  # bounds of the sketch; beyond ROWS_PER_BUCKET x MAX_BUCKETS rows the buckets grow
+
+
+def _sort_key(c: Column | str) -> tuple[Column, bool]:
+    """(key, is descending) of a column name or a sort order such as ``F.col("k").desc()``."""
+    if isinstance(c, str):
+        return F.col(c), False
+    found = re.fullmatch(r"Column<'(.*) (ASC|DESC) NULLS (?:FIRST|LAST)'>", str(c))
+    return (F.expr(found[1]), found[2] == "DESC") if found else (c, False)
+
+
+def bucket_bounds(df: DataFrame, key: Column, n_buckets: int | None = None) -> list[float]:
+    """Rising bounds that cut the rows into ``n_buckets`` parts of about the same size (one aggregate).
+
+    Equal bounds fall together, so the parts are fewer where one key is frequent.
+    """
+    points = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)] if n_buckets is None else [i / n_buckets for i in range(1, n_buckets)]
+    value = key.cast("double")
+    sketch = F.percentile_approx(F.when(~F.isnan(value), value), points, 10 * MAX_BUCKETS) if points else F.lit(None)
+    got = df.agg(F.count(F.lit(1)).alias("n"), sketch.alias("q")).first()
+    found = got["q"] or []
+    if n_buckets is None:
+        n = min(MAX_BUCKETS, -(-got["n"] // ROWS_PER_BUCKET))
+        found = [found[round(i * MAX_BUCKETS / n) - 1] for i in range(1, n)] if found else []
+    return sorted({float(b) for b in found if abs(b) != float("inf")})
 
 
-def _partitions(df: DataFrame, n: int | None) -> int:
-    # explicit count: AQE must not coalesce this exchange, since both branches below
-    # read the same partition ids
-    return n or default_partitions(df.sparkSession)
+def with_bucket(df: DataFrame, key: Column, bounds: list[float], out: str = "_bucket") -> DataFrame:
+    """``out`` = number of bounds at or below the key (binary search); a null key is below all, NaN above all."""
+    if not bounds:
+        return df.withColumn(out, F.lit(0))
+    inf = float("inf")
+    value = F.coalesce(key.cast("double"), F.lit(-inf))
+    tool = Bucketizer(splits=[-inf, *bounds, inf], inputCol="_key", outputCol=out)
+    placed = tool.transform(df.withColumn("_key", F.when(F.isnan(value), F.lit(inf)).otherwise(value)))
+    return placed.withColumn(out, F.col(out).cast("int")).drop("_key")
 
 
-def prefix_sums(df: DataFrame, order_by: list[Column | str], sums: list[str], n_partitions: int | None = None,
+def prefix_sums(df: DataFrame, order_by: list[Column | str], sums: list[str], n_buckets: int | None = None,
                 next_cols: list[str] | None = None) -> DataFrame:
     """Adds ``cum_<c>`` = sum of ``c`` over all rows up to and including this one.
 
-    ``order_by`` must be a total order (unique keys); ties would be summed in an
-    arbitrary order.  With ``next_cols`` it also adds ``next_<c>``: the value of ``c`` in
-    the following row of the global order (null for the last row), taken from the same
-    partition or, for a partition's last row, from the first row of the next non-empty
-    partition.  Output keeps every input column.
+    ``order_by`` is one number whose values are unique (ties would be summed in an arbitrary
+    order), rising or as a descending sort order; nulls come first when rising.  With
+    ``next_cols`` it also adds ``next_<c>``: the value of ``c`` in the following row of the
+    whole order (null for the last row).  Output keeps every input column.
+
+    Two aggregates run while the result is built (bounds, then bucket totals; the first one
+    alone where one bucket holds all rows); each brings one row per bucket to the driver.
     """
-    order = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    (sort,) = order_by
+    key, falling = _sort_key(sort)
+    order = key.desc() if falling else key.asc()
     next_cols = list(next_cols or [])
-    n = _partitions(df, n_partitions)
-    # checkpointed, since both uses below must see one and the same partitioning: range bounds are
-    # sampled anew for each exchange that the optimizer does not share
-    ensure_checkpoint_dir(df.sparkSession)
-    ranged = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
-    within = Window.partitionBy("_part").orderBy(*order)
+    bounds = bucket_bounds(df, key, n_buckets)
+    placed = with_bucket(df, key, bounds)
+    n = len(bounds) + 1
+    before = {c: [0] * n for c in sums}
+    after: list = [None] * n
+    if bounds:
+        aggs = [F.sum(c).alias(f"_tot_{c}") for c in sums]
+        if next_cols:
+            edge = F.max_by if falling else F.min_by
+            # a null key is the first row of a rising order and the last of a falling one
+            place = F.coalesce(key.cast("double"), F.lit(float("-inf")))
+            aggs.append(edge(F.struct(*next_cols), place).alias("_first"))
+        found = {r["_bucket"]: r for r in placed.groupBy("_bucket").agg(*aggs).collect()}  # one row per bucket
+        walk = sorted(found, reverse=falling)
+        for c in sums:
+            total = 0
+            for b in walk:
+                before[c][b] = total
+                total = total + (found[b][f"_tot_{c}"] or 0)
+        for b, following in zip(walk, walk[1:]):
+            after[b] = found[following]["_first"] if next_cols else None
+    within = Window.partitionBy("_bucket").orderBy(order)
     running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cols = {f"_loc_{c}": F.sum(c).over(running) for c in sums}
-    cols.update({f"_lead_{c}": F.lead(c).over(within) for c in next_cols})
-    cols.update({"_pos": F.row_number().over(within)} if next_cols else {})
-    local = ranged.withColumns(cols)
-    agg = [F.sum(c).alias(f"_tot_{c}") for c in sums]
-    if next_cols:
-        # the partition's first row in the order: the one whose position is 1
-        agg.append(F.min_by(F.struct(*[F.col(c).alias(c) for c in next_cols]), "_pos").alias("_first"))
-        totals = local.groupBy("_part").agg(*agg)
-    else:
-        totals = ranged.groupBy("_part").agg(*agg)
-    by_part = Window.orderBy("_part")  # n_partitions rows only
-    before = by_part.rowsBetween(Window.unboundedPreceding, -1)
-    side = [F.coalesce(F.sum(f"_tot_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in sums]
-    if next_cols:
-        side.append(F.lead("_first").over(by_part).alias("_next_first"))
-    offsets = totals.select("_part", *side)
-    joined = local.join(F.broadcast(offsets), "_part")
-    out_cols = {f"cum_{c}": F.col(f"_loc_{c}") + F.col(f"_off_{c}") for c in sums}
+    # a bucket is one range; two ranges at least, so that the exchange stays one of ranges
+    out = placed.repartitionByRange(max(2, n), "_bucket")
+    types = dict(df.dtypes)
+    cols = {}
+    for c in sums:
+        kind = "double" if types[c] in ("double", "float") else types[c] if types[c].startswith("decimal") else "bigint"
+        start = F.element_at(F.array(*[F.lit(v).cast(kind) for v in before[c]]), F.col("_bucket") + 1)
+        cols[f"cum_{c}"] = F.sum(c).over(running) + start
     if next_cols:
-        # a null lead means either the partition's last row or a genuine null value
-        is_last_in_part = F.col("_pos") == F.max("_pos").over(Window.partitionBy("_part"))
-        out_cols.update({f"next_{c}": F.when(is_last_in_part, F.col("_next_first")[c]).otherwise(F.col(f"_lead_{c}"))
-                         for c in next_cols})
-    out = joined.withColumns(out_cols)
-    drop = ["_part", "_pos", "_next_first", *[f"_loc_{c}" for c in sums], *[f"_off_{c}" for c in sums],
-            *[f"_lead_{c}" for c in next_cols]]
-    return out.drop(*[c for c in drop if c in out.columns])
+        is_last = F.lead(F.lit(1)).over(within).isNull()
+        for c in next_cols:
+            kind = types[c]
+            following = F.element_at(F.array(*[F.lit(r[c] if r else None).cast(kind) for r in after]), F.col("_bucket") + 1)
+            cols[f"next_{c}"] = F.when(is_last, following).otherwise(F.lead(c).over(within))
+    return out.withColumns(cols).drop("_bucket")

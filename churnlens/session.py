@@ -54,12 +54,3 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return "/".join([base, *parts])
 
-
-def default_partitions(spark: SparkSession) -> int:
-    """Partition count for explicitly partitioned steps: twice the cluster's task slots.
-
-    Used where the count must be fixed (range-partitioned running sums, the k-means
-    layout) rather than left to AQE coalescing; it grows with the cluster, not with a
-    session default meant for other shuffles.
-    """
-    return max(1, 2 * spark.sparkContext.defaultParallelism)

@@ -68,3 +68,36 @@ def test_running_sums_beyond_the_sampling_size(spark, parts, extra):
     out = prefix_sums(df if extra else df.select("k", "one"), ["k"], ["one"], parts)
     got = out.selectExpr("max(cum_one) AS top", "count(DISTINCT cum_one) AS n").first()
     assert (got["top"], got["n"]) == (300_000, 300_000)
+
+
+def test_buckets_follow_the_rows_alone(spark, monkeypatch):
+    from churnlens.operators import ordered
+
+    monkeypatch.setattr(ordered, "ROWS_PER_BUCKET", 1_000)
+    df = spark.range(0, 40_000, 1, 8).selectExpr("cast(id AS double) / 7 AS k", "id % 11 AS a")
+    bounds = ordered.bucket_bounds(df, F.col("k"))
+    assert len(bounds) == len(ordered.bucket_bounds(df.repartition(3), F.col("k"))) == 39
+    out = prefix_sums(df, [F.col("k").desc()], ["a"], next_cols=["k"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "Scan ExistingRDD" not in plan
+    got = {r.k: (r.cum_a, r.next_k) for r in out.collect()}
+    total, rows = 0, [(i / 7, i % 11) for i in range(40_000)]
+    for (k, a), following in zip(reversed(rows), [*[r[0] for r in reversed(rows)][1:], None]):
+        total += a
+        assert got[k] == (total, following)
+
+
+def test_odd_keys(spark):
+    keys = [None, float("-inf"), -1.5, 0.0, 2.0, float("inf"), float("nan")]
+    df = spark.createDataFrame([(k, 1) for k in keys], "k double, one int")
+    for order, want in ((F.col("k").asc(), keys), (F.col("k").desc(), keys[::-1])):
+        for n in (1, 3, 6):
+            out = prefix_sums(df, [order], ["one"], n, next_cols=["k"]).collect()
+            rows = sorted(out, key=lambda r: r.cum_one)
+            assert [str(r.k) for r in rows] == [str(k) for k in want]
+            assert [str(r.next_k) for r in rows] == [str(k) for k in [*want[1:], None]]
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], "k double, one int")
+    assert prefix_sums(df, ["k"], ["one"], next_cols=["one"]).count() == 0
