@@ -14,7 +14,6 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,11 +22,12 @@ from churnlens.functions.columns import shorten
 from churnlens.functions.rounding import round_exact
 from churnlens.operators import metrics as E
 from churnlens.operators.features import (
-    SEED, TEST_SIZE, assembler, class_counts, feature_names, impute, imputation_values, one_hot_stages,
+    SEED, TEST_SIZE, assembler, class_counts, feature_names, imputation_values, one_hot_stages,
     stratified_split,
 )
 from churnlens.operators.quality import split_columns
-from churnlens.operators.scoring import risk_factors
+from churnlens.operators.scoring import risk_factors_of_vector
+from churnlens.operators.stages import FILLED, ChurnClass, FillMissing, filled
 from churnlens.sources.schema import DRIVER_SCHEMA, ID_COL, LABEL_COL
 
 MAX_DEPTH = 8  # fixed: reference tree depth
@@ -38,7 +38,7 @@ MIN_BAR_SCALE = 0.0001  # fixed: floor of the largest importance for bar widths
 
 @dataclass
 class ChurnModel:
-    """M1 output: imputation values + fitted encoding and tree as one pipeline."""
+    """M1 output: imputation (into working columns), fitted encoding and tree as one pipeline."""
 
     model: PipelineModel
     numeric: list[str]
@@ -56,9 +56,8 @@ class ChurnModel:
 
     def transform(self, df: DataFrame, keep_features: bool = False) -> DataFrame:
         """M3: ``churn_probability`` and ``prediction`` (p > 0.5; a tie gives 0)."""
-        out = self.model.transform(impute(df, self.fill))
-        out = out.withColumn("prediction", (F.col("churn_probability") > 0.5).cast("int"))
-        drop = [c for c in out.columns if c.startswith("_oh_")]
+        out = ChurnClass().transform(self.model.transform(df))
+        drop = [c for c in out.columns if c.startswith(("_oh_", FILLED))]
         if not keep_features:
             drop.append("features")
         return out.drop(*drop)
@@ -66,7 +65,7 @@ class ChurnModel:
     def with_risk_factors(self, df: DataFrame, top_n: int = 5) -> DataFrame:
         """R5 on the model's own feature vector (imputed numerics + one-hot slots)."""
         scored = self.transform(df, keep_features=True)
-        col = risk_factors(vector_to_array(F.col("features")), self.names, self.importances(), self.numeric, top_n)
+        col = risk_factors_of_vector(F.col("features"), self.names, self.importances(), self.numeric, top_n)
         return scored.withColumn("risk_factors", col).drop("features")
 
     # S7 -------------------------------------------------------------------
@@ -84,7 +83,7 @@ class ChurnModel:
             model = PipelineModel.load(f"{path}/pipeline")
             info = json.loads(spark.read.text(f"{path}/info").first()[0])
         except Exception as e:  # noqa: BLE001
-            raise FileNotFoundError(f"Model artifact not found or unreadable at {path}; train it first.") from e
+            raise FileNotFoundError(f"no readable churn model at {path}; train and save one first") from e
         return cls(model, info["numeric"], info["categorical"], info["fill"], info["names"], info.get("meta", {}))
 
 
@@ -107,10 +106,11 @@ def fit_churn_tree(train: DataFrame, label: str = LABEL_COL, max_depth: int = MA
         numeric, categorical = split_columns(train, label_col=label)
     train = train.persist(StorageLevel.MEMORY_AND_DISK)  # read by several jobs below, and by every tree level
     fill = imputation_values(train, numeric, categorical)
-    data = impute(train, fill).withColumns({"_y": F.col(label).cast("double"), "_w": balanced_weight(train, label)})
+    data = train.withColumns({"_y": F.col(label).cast("double"), "_w": balanced_weight(train, label)})
     tree = DecisionTreeRegressor(featuresCol="features", labelCol="_y", weightCol="_w", predictionCol="churn_probability",
                                  maxDepth=max_depth, minInstancesPerNode=min_samples_leaf, maxBins=max_bins, seed=seed)
-    pipe = Pipeline(stages=one_hot_stages(categorical) + [assembler(numeric, categorical), tree])
+    pipe = Pipeline(stages=[FillMissing(inputCols=[*numeric, *categorical], fills=json.dumps(fill, default=float)),
+                            *one_hot_stages(categorical, inputs=filled(categorical)), assembler(filled(numeric), categorical), tree])
     model = pipe.fit(data)
     train.unpersist()
     names = feature_names(model, numeric, categorical)

@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import json
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -23,11 +24,12 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlens.operators.features import SEED, fit_encoding, standardizer_stages
+from churnlens.operators.features import SEED, assembler, feature_names, one_hot_stages, standardizer_stages
 from churnlens.operators.quality import split_columns
+from churnlens.operators.stages import FILLED, FillMissing, filled
 from churnlens.session import ensure_checkpoint_dir
 from churnlens.sources.schema import ID_COL, LABEL_COL
 
@@ -55,30 +57,43 @@ class ClusterModel:
     def transform(self, df: DataFrame) -> DataFrame:
         scaled = self.encoding.transform(df)
         out = self.kmeans.transform(scaled)
-        drop = [c for c in out.columns if c.startswith("_oh_") or c.startswith("_scaled") or c in ("features", "scaled")]
+        drop = [c for c in out.columns if c.startswith(("_oh_", "_scaled", FILLED)) or c in ("features", "scaled")]
         return out.withColumn("cluster_id", F.col("cluster_id").cast("int")).drop(*drop)
 
     def save(self, path: str) -> None:
         self.encoding.write().overwrite().save(f"{path}/encoding")
         self.kmeans.write().overwrite().save(f"{path}/kmeans")
+        info = json.dumps(dict(numeric=self.numeric, categorical=self.categorical, names=self.names))
+        SparkSession.active().createDataFrame([(info,)], "info string").coalesce(1).write.mode("overwrite").text(f"{path}/info")
 
     @classmethod
-    def load(cls, path: str, numeric: list[str], categorical: list[str], names: list[str]) -> ClusterModel:
-        return cls(PipelineModel.load(f"{path}/encoding"), KMeansModel.load(f"{path}/kmeans"), numeric, categorical, names)
+    def load(cls, path: str) -> ClusterModel:
+        try:
+            info = json.loads(SparkSession.active().read.text(f"{path}/info").first()[0])
+            return cls(PipelineModel.load(f"{path}/encoding"), KMeansModel.load(f"{path}/kmeans"), info["numeric"], info["categorical"], info["names"])
+        except Exception as e:  # noqa: BLE001
+            raise FileNotFoundError(f"no readable cluster model at {path}; train and save one first") from e
 
 
 ROWS_PER_PARTITION = 1_000_000  # k-means matrix rows per partition (~200 MB at 20 slots)
 
 
 def cluster_matrix(df: DataFrame, numeric: list[str] | None = None, categorical: list[str] | None = None,
-                   label: str = LABEL_COL, with_count: bool = False):
-    """K1: fitted (one-hot, assemble, standardise) pipeline writing ``scaled``; and slot names."""
+                   label: str = LABEL_COL, with_count: bool = False, fill: dict | None = None):
+    """K1: fitted (fill, one-hot, assemble, standardise) pipeline writing ``scaled``; and slot names.
+
+    ``fill`` holds the values for nulls, which go to working copies of the columns; without it
+    nulls in numeric columns fail.
+    """
     if numeric is None or categorical is None:
         numeric, categorical = split_columns(df, label_col=label)
-    enc = fit_encoding(df, numeric, categorical, out="features")
+    stages = [FillMissing(inputCols=[*numeric, *categorical], fills=json.dumps(fill or {}, default=float)),
+              *one_hot_stages(categorical, inputs=filled(categorical)), assembler(filled(numeric), categorical)]
+    encoding = Pipeline(stages=stages).fit(df)
+    names = feature_names(encoding, numeric, categorical)
     n_rows = df.count()
-    model = Pipeline(stages=[enc.model, *standardizer_stages(n_rows, len(enc.names), "features", "scaled")]).fit(df)
-    return (model, enc.names, n_rows) if with_count else (model, enc.names)
+    model = Pipeline(stages=[*encoding.stages, *standardizer_stages(n_rows, len(names), "features", "scaled")]).fit(df)
+    return (model, names, n_rows) if with_count else (model, names)
 
 
 def layout_partitions(spark, n_rows: int) -> int:
@@ -276,7 +291,7 @@ def choose_k(vectors: DataFrame, k_min: int = K_RANGE[0], k_max: int = K_RANGE[1
 def train_segments(df: DataFrame, k: int | None = K_FINAL, search: tuple[int, int] | None = K_RANGE,
                    seed: int = SEED, n_init: int = N_INIT, label: str = LABEL_COL,
                    numeric: list[str] | None = None, categorical: list[str] | None = None,
-                   id_col: str = ID_COL, n_partitions: int | None = None):
+                   id_col: str = ID_COL, n_partitions: int | None = None, fill: dict | None = None):
     """K1 + K5 + K2: returns (ClusterModel, k-search table or None).
 
     ``k=None`` takes the best silhouette of the search; an integer fixes k (the
@@ -286,7 +301,7 @@ def train_segments(df: DataFrame, k: int | None = K_FINAL, search: tuple[int, in
     """
     if numeric is None or categorical is None:
         numeric, categorical = split_columns(df, label_col=label)
-    enc, names, n_rows = cluster_matrix(df, numeric, categorical, label, with_count=True)
+    enc, names, n_rows = cluster_matrix(df, numeric, categorical, label, with_count=True, fill=fill)
     ensure_checkpoint_dir(df.sparkSession)  # the shared folder named by spark.checkpoint.dir
     n_partitions = n_partitions or layout_partitions(df.sparkSession, n_rows)
     laid_out = canonical_layout(enc.transform(df).select(id_col, "scaled"), id_col, n_partitions)
@@ -297,4 +312,5 @@ def train_segments(df: DataFrame, k: int | None = K_FINAL, search: tuple[int, in
         table, best, models = choose_k(vectors, search[0], search[1], seed, n_init)
     final_k = k if k is not None else best
     km = models.get(final_k) or fit_kmeans(vectors, final_k, seed, n_init)
+    vectors.unpersist()
     return ClusterModel(enc, km, numeric, categorical, names), table

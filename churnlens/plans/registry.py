@@ -24,6 +24,7 @@ from churnlens.operators import quality as V
 from churnlens.operators import scoring as R
 from churnlens.operators import segments as K
 from churnlens.plans import training as T
+from churnlens.plans.bundle import Bundle
 from churnlens.session import shared_path
 from churnlens.sources import sinks
 from churnlens.sources.readers import read_drivers, read_profiles, read_table
@@ -380,9 +381,7 @@ def r5(spark, sf_dir):
     df, enc = encoded(spark, sf_dir)
     imp = {r["feature"]: r["importance"] for r in gain_table(spark, sf_dir).collect()}  # one row per slot
     imps = [imp.get(n, 0.0) for n in enc.names]
-    from pyspark.ml.functions import vector_to_array
-
-    col = R.risk_factors(vector_to_array(F.col("features")), enc.names, imps, NUMERIC, 5)
+    col = R.risk_factors_of_vector(F.col("features"), enc.names, imps, NUMERIC, 5)
     return R.explode_factors(enc.transform(df).withColumn("risk_factors", col), "cust_key")
 
 
@@ -475,8 +474,7 @@ def r2(spark, sf_dir):
 @register("R6_predict_batch")
 def r6(spark, sf_dir):
     art = trained(spark, sf_dir)
-    raw = V.parse_numeric_column(subscribers(spark, sf_dir))
-    return T.predict_batch(raw, art)
+    return T.predict_batch(subscribers(spark, sf_dir), art)
 
 
 @register("R7_predict_stream")
@@ -521,23 +519,22 @@ def s9(spark, sf_dir):
 @register("S5_write_k_search")
 def s5(spark, sf_dir):
     art = trained(spark, sf_dir)
-    path = sinks.write_k_search(art.search, art.chosen_k, _out(spark, sf_dir, "kmeans_search"))
+    path = sinks.write_k_search(art.search, art.chosen_k, _out(spark, sf_dir, "kmeans_search"), art.k)
     return spark.read.json(path)
 
 
 @register("S6_write_metrics")
 def s6(spark, sf_dir):
-    path = sinks.write_metrics(T.metrics_row(trained(spark, sf_dir)), _out(spark, sf_dir, "metrics"))
+    path = sinks.write_metrics(T.evaluation_record(trained(spark, sf_dir)), _out(spark, sf_dir, "metrics"))
     return spark.read.json(path)
 
 
 @register("S7_save_load_model")
 def s7(spark, sf_dir):
     art = trained(spark, sf_dir)
-    path = _out(spark, sf_dir, "churn_model")
-    art.churn.save(path)
-    loaded = M.ChurnModel.load(path)
-    return loaded.transform(art.cleaned).select("cust_key", "churn_probability", "prediction")
+    path = _out(spark, sf_dir, "scoring")
+    art.bundle.save(path)
+    return Bundle.load(path, spark).score(art.cleaned)
 
 
 # --- remaining inventory rows: V3, V4, V8, F5, C4 ---------------------------------------

@@ -30,14 +30,19 @@ def write_profiles(profiles: DataFrame, path: str, fmt: str = "parquet") -> str:
     return write_small(profiles.orderBy("cluster_id"), path, fmt)
 
 
-def write_k_search(search: DataFrame, chosen_k: int, path: str) -> str:
-    """One JSON row per k (k, inertia, silhouette, chosen)."""
-    out = search.withColumn("chosen", F.col("k") == F.lit(chosen_k)).orderBy("k")
+def write_k_search(search: DataFrame, chosen_k: int, path: str, k_in_use: int | None = None) -> str:
+    """One JSON row per k (k, inertia, silhouette, chosen, k_in_use).
+
+    ``chosen`` marks the search's best silhouette; ``k_in_use`` is the k of the final model,
+    which may be fixed beforehand.
+    """
+    used = F.lit(chosen_k if k_in_use is None else k_in_use).cast("int")
+    out = search.withColumns({"chosen": F.col("k") == F.lit(chosen_k), "k_in_use": used}).orderBy("k")
     return write_small(out, path, "json")
 
 
 def write_metrics(metrics: DataFrame, path: str) -> str:
-    """One JSON row of hold-out metrics."""
+    """One JSON row of the hold-out evaluation."""
     return write_small(metrics, path, "json")
 
 

@@ -164,3 +164,38 @@ def test_exact_median_and_mode_match_spark(spark, n):
 def test_mode_ties_compare_numbers_numerically(spark):
     df = spark.createDataFrame([(9,), (10,), (9,), (10,), (100,)], "y int")
     assert Fe.exact_modes(df, ["y"]) == {"y": 9}
+
+
+def test_factors_from_sparse_entries_equal_the_dense_form(spark):
+    """Same factors from a sparse vector's entries as from an array over all slots; numeric zeros count."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import Vectors
+
+    from churnlens.operators import scoring as R
+
+    names = ["tenure", "monthly_charges", "tenure_band_x", "a_1", "a_2", "b_1", "b_2"]
+    imps = [0.2, 0.0, 0.1, 0.3, 0.1, 0.1, 0.0]
+    rows = [Vectors.dense([1.23456, 2, 0, 1, 0, 1, 1]), Vectors.sparse(7, {3: 1.0, 5: 1.0, 6: 1.0}), Vectors.sparse(7, {}), Vectors.sparse(7, {0: 0.25, 2: 1.0, 4: 0.4, 5: 0.5})]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], ["id", "v"])
+    for n in (1, 3, 5):
+        a = df.select("id", R.risk_factors(vector_to_array("v"), names, imps, ["tenure", "monthly_charges"], n).alias("f")).orderBy("id").collect()
+        b = df.select("id", R.risk_factors_of_vector(F.col("v"), names, imps, ["tenure", "monthly_charges"], n).alias("f")).orderBy("id").collect()
+        assert a == b
+
+
+def test_factors_of_wide_vectors(spark):
+    """50,000 slots, three of them active: the rows' work does not follow the width."""
+    import time
+
+    from pyspark.ml.linalg import Vectors
+
+    from churnlens.operators import scoring as R
+
+    width = 50_000
+    names = [f"c_{i}" for i in range(width)]
+    imps = [1.0 / (i + 1) for i in range(width)]
+    df = spark.createDataFrame([(i, Vectors.sparse(width, {i: 1.0, 100 + i: 1.0, 49_000 + i: 1.0})) for i in range(90)] * 20, ["id", "v"])
+    start = time.time()
+    got = df.select("id", R.risk_factors_of_vector(F.col("v"), names, imps, [], 2).alias("f")).collect()
+    assert time.time() - start < 60
+    assert all([x.feature for x in r.f] == [f"c_{r.id}", f"c_{100 + r.id}"] for r in got) and len(got) == 1800
