@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from churnlens.functions.columns import shorten
@@ -25,6 +25,7 @@ from churnlens.operators.features import (
     SEED, TEST_SIZE, assembler, class_counts, feature_names, imputation_values, one_hot_stages,
     stratified_split,
 )
+from churnlens.operators.ordered import prefix_sums
 from churnlens.operators.quality import split_columns
 from churnlens.operators.scoring import risk_factors_of_vector
 from churnlens.operators.stages import FILLED, ChurnClass, FillMissing, filled
@@ -194,6 +195,14 @@ def root_gini_gain(df: DataFrame, categorical: list[str], label: str = LABEL_COL
         F.sum((F.col("_y") == 1).cast("long")).alias("c1"), F.sum((F.col("_y") == 0).cast("long")).alias("c0"))
     per_col = Window.partitionBy("column")  # the categories of one column
     totals = counts.withColumns({"t1": F.sum("c1").over(per_col), "t0": F.sum("c0").over(per_col)})
+    return totals.filter(F.col("value").isNotNull()).select(
+        F.concat(F.col("column"), F.lit("_"), F.col("value")).alias("feature"),
+        _split_gain(weighted).alias("gain"),
+    )
+
+
+def _split_gain(weighted: bool) -> Column:
+    """Gini decrease of a split that puts c1 and c0 of t1 and t0 rows (label 1 and 0) on one side."""
     n = F.col("t1") + F.col("t0")
     if weighted:
         w1 = F.when(F.col("t1") > 0, n / (2.0 * F.col("t1"))).otherwise(F.lit(0.0))
@@ -210,10 +219,37 @@ def root_gini_gain(df: DataFrame, categorical: list[str], label: str = LABEL_COL
     p1, p0 = F.col("t1") * w1, F.col("t0") * w0
     tot = p1 + p0
     gain = gini(p1, p0) - ((l1 + l0) / tot) * gini(l1, l0) - ((r1 + r0) / tot) * gini(r1, r0)
-    return totals.filter(F.col("value").isNotNull()).select(
-        F.concat(F.col("column"), F.lit("_"), F.col("value")).alias("feature"),
-        F.when(tot > 0, gain).otherwise(F.lit(0.0)).alias("gain"),
-    )
+    return F.when(tot > 0, gain).otherwise(F.lit(0.0))
+
+
+def numeric_splits(df: DataFrame, numeric: list[str], label: str = LABEL_COL, weighted: bool = True, min_rows: int = 1) -> DataFrame:
+    """D4 for numbers: the best threshold of each column for splitting the root, one row per column.
+
+    Each column's distinct values are counted by class, swept in order with running class counts
+    (``ordered.prefix_sums``), and every midpoint of neighbouring values is a candidate, if both
+    sides keep ``min_rows`` rows.  Gains equal to 12 places count as ties; the lower threshold
+    wins.  Null and NaN are left out of their column; a column without a candidate has no row.
+    """
+    y = F.col(label).cast("int")
+    out = None
+    for c in numeric:
+        v = F.col(c).cast("double")
+        counts = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(v.alias("v")).agg(
+            F.sum((y == 1).cast("long")).alias("c1"), F.sum((y == 0).cast("long")).alias("c0"))
+        run = prefix_sums(counts, ["v"], ["c1", "c0"], next_cols=["v"])
+        t1, t0 = (counts.agg(F.sum(k)).scalar() for k in ("c1", "c0"))
+        cells = run.where(F.col("next_v").isNotNull()).select(
+            ((F.col("v") + F.col("next_v")) / 2.0).alias("threshold"), F.col("cum_c1").alias("c1"), F.col("cum_c0").alias("c0"), t1.alias("t1"), t0.alias("t0"))
+        rated = cells.withColumn("gain", _split_gain(weighted)).where(
+            (F.col("c1") + F.col("c0") >= min_rows) & (F.col("t1") + F.col("t0") - F.col("c1") - F.col("c0") >= min_rows))
+        order = F.struct(F.round("gain", 12), (-F.col("threshold")).alias("low"))
+        best = rated.agg(F.max_by(F.struct("threshold", "gain", (F.col("c1") + F.col("c0")).alias("n_left"),
+                                           (F.col("t1") + F.col("t0") - F.col("c1") - F.col("c0")).alias("n_right")), order).alias("b"))
+        row = best.where(F.col("b").isNotNull()).select(F.lit(c).alias("feature"), "b.*")
+        out = row if out is None else out.unionByName(row)
+    if out is None:
+        return df.sparkSession.createDataFrame([], "feature string, threshold double, gain double, n_left long, n_right long")
+    return out
 
 
 def gain_drivers(gains: DataFrame) -> DataFrame:

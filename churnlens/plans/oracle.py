@@ -350,6 +350,8 @@ SELECT col AS "column", val AS "mode" FROM (
 ORACLE["F3_one_hot"] = with_subscribers(f""", {SLOTS}
 SELECT c.cust_key, s.feature_index, s.feature FROM cats c JOIN slot_names s ON c.col = s.col AND c.val = s.val""")
 
+ORACLE["F3_category_dictionary"] = ORACLE["F3_one_hot"]
+
 NUMERIC_NAMES = "SELECT 0 AS feature_index, 'senior_citizen' AS feature UNION ALL SELECT 1, 'tenure' UNION ALL SELECT 2, 'monthly_charges' UNION ALL SELECT 3, 'total_charges'"
 
 ORACLE["F4_feature_names"] = with_subscribers(f""", {SLOTS}
@@ -417,6 +419,19 @@ imp AS (SELECT feature, CASE WHEN gain > 0 THEN gain / SUM(gain) OVER () ELSE CA
 drivers AS (SELECT feature, importance, CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank FROM imp)"""
 
 ORACLE["D4_root_gini_gain"] = with_subscribers(f", {GAINS}\nSELECT feature, {R('gain', 6)} AS gain FROM gains")
+ORACLE["D4_numeric_splits"] = with_subscribers(f""",
+vals AS (SELECT 'senior_citizen' AS feature, CAST(senior_citizen AS DOUBLE) AS v, churn FROM subscribers
+         UNION ALL SELECT 'tenure', CAST(tenure AS DOUBLE), churn FROM subscribers
+         UNION ALL SELECT 'monthly_charges', CAST(monthly_charges AS DOUBLE), churn FROM subscribers
+         UNION ALL SELECT 'total_charges', CAST(total_charges AS DOUBLE), churn FROM subscribers),
+per AS (SELECT feature, v, CAST(SUM(churn) AS BIGINT) AS p, CAST(SUM(1 - churn) AS BIGINT) AS n FROM vals WHERE v IS NOT NULL GROUP BY feature, v),
+swept AS (SELECT feature, v, lead(v) OVER w AS next_v, CAST(SUM(p) OVER w AS BIGINT) AS c1, CAST(SUM(n) OVER w AS BIGINT) AS c0,
+                 CAST(SUM(p) OVER (PARTITION BY feature) AS BIGINT) AS t1, CAST(SUM(n) OVER (PARTITION BY feature) AS BIGINT) AS t0
+          FROM per WINDOW w AS (PARTITION BY feature ORDER BY v)),
+rated AS (SELECT feature, (v + next_v) / 2.0 AS threshold, c1 + c0 AS n_left, t1 + t0 - c1 - c0 AS n_right,
+                 CASE WHEN {_TOT} > 0 THEN {_GAIN} ELSE CAST(0 AS DOUBLE) END AS gain FROM swept WHERE next_v IS NOT NULL),
+best AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY ROUND(gain, 12) DESC, threshold) AS place FROM rated)
+SELECT feature, {R('threshold', 6)} AS threshold, {R('gain', 6)} AS gain, n_left, n_right FROM best WHERE place = 1""")
 ORACLE["D2_top_drivers"] = with_subscribers(
     f", {GAINS}\nSELECT feature, {R('importance', 6)} AS importance, rank FROM drivers WHERE rank <= 15")
 

@@ -323,6 +323,16 @@ def f3(spark, sf_dir):
                         F.element_at(_names_col(enc.names), F.col("feature_index") + 1).alias("feature"))
 
 
+@register("F3_category_dictionary")
+def f3_dictionary(spark, sf_dir):
+    """F3 by the distributed dictionary: the active slots of each row, with the value each one stands for."""
+    df = cleaned(spark, sf_dir)
+    dictionary = Fe.category_dictionary(df, CATEGORICAL, len(NUMERIC))
+    slots = Fe.with_slots(df, dictionary, CATEGORICAL).select("cust_key", F.explode("slots").alias("slot"))
+    named = dictionary.select("slot", F.concat_ws("_", "column", "value").alias("feature"))
+    return slots.join(named, "slot").select("cust_key", F.col("slot").cast("int").alias("feature_index"), "feature")
+
+
 @register("F4_feature_names")
 def f4(spark, sf_dir):
     _, enc = encoded(spark, sf_dir)
@@ -366,6 +376,11 @@ def d4(spark, sf_dir):
     return rounded(M.root_gini_gain(cleaned(spark, sf_dir), CATEGORICAL))
 
 
+@register("D4_numeric_splits")
+def d4_numeric(spark, sf_dir):
+    return rounded(M.numeric_splits(cleaned(spark, sf_dir), NUMERIC))
+
+
 @register("D2_top_drivers")
 def d2(spark, sf_dir):
     return M.top_drivers(gain_table(spark, sf_dir), 15)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from churnlens.functions.columns import parse_numeric
 from churnlens.sources.schema import PROFILE_SCHEMA, RENAME, TELCO_CSV_SCHEMA
 
 
@@ -27,12 +28,39 @@ def canonical_names(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(mapping) if mapping else df
 
 
-def load_customers(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """The raw subscriber table with a declared schema (no inference).
+def column_types(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """V7: the narrowest of bigint, double and string that holds every value of each text column.
 
-    CSV is read with a header and the reference's column types (TotalCharges as
-    text); parquet keeps its own schema.  Columns are renamed to canonical names
-    after the required-column check.
+    One aggregate over the table, one row back.  Blank and null values hold no type; a column
+    of blanks alone is text.
+    """
+    if not columns:
+        return {}
+    aggs = []
+    for n, c in enumerate(columns):
+        t = F.trim(F.col(c))
+        has = t.isNotNull() & (t != "")
+        whole = t.rlike(r"^[+-]?[0-9]+$") & t.try_cast("bigint").isNotNull()
+        aggs += [F.count_if(has).alias(f"n{n}"), F.count_if(has & whole).alias(f"i{n}"), F.count_if(has & parse_numeric(c).isNotNull()).alias(f"d{n}")]
+    got = df.agg(*aggs).first()
+    return {c: "string" if not got[f"n{n}"] or got[f"d{n}"] < got[f"n{n}"] else "bigint" if got[f"i{n}"] == got[f"n{n}"] else "double"
+            for n, c in enumerate(columns)}
+
+
+def with_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """Text columns as their types; blanks of a number column become null."""
+    cast = {c: parse_numeric(c) if t == "double" else F.trim(F.col(c)).try_cast(t) for c, t in types.items() if t != "string"}
+    return df.withColumns(cast) if cast else df
+
+
+def load_customers(spark: SparkSession, path: str, fmt: str | None = None, extra_types: dict[str, str] | None = None) -> DataFrame:
+    """The raw subscriber table; the reference's columns have a declared schema.
+
+    CSV is read with a header and the reference's column types (TotalCharges as text);
+    columns beyond these are text in the file and get the type that holds all their values
+    (``column_types``: one aggregate, only if there are such columns and ``extra_types`` does not
+    state theirs), so that a numeric extra is a numeric feature.  Parquet keeps its own schema.
+    Columns are renamed to canonical names after the required-column check.
     """
     fmt = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
     if fmt == "csv":
@@ -41,6 +69,9 @@ def load_customers(spark: SparkSession, path: str, fmt: str | None = None) -> Da
         known = {f.name: f for f in TELCO_CSV_SCHEMA.fields}
         ordered = [known.get(c) or StructField(c, StringType()) for c in header]
         df = spark.read.schema(StructType(ordered)).option("header", True).option("enforceSchema", False).csv(path)
+        extras = [c for c in header if c not in known]
+        stated = extra_types or {}
+        df = with_types(df, {**{c: stated[c] for c in extras if c in stated}, **column_types(df, [c for c in extras if c not in stated])})
     else:
         df = spark.read.format(fmt).load(path)
         require_columns_list(canonical_names(df).columns, [RENAME.get(c, c) for c in TELCO_CSV_SCHEMA.fieldNames()])
