@@ -21,11 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import byte_view, units
+from churnlens.llm.common import begin_task, byte_view, units
 
 BUCKETS = 1 << 16
-ROUNDS = 12
 PENALTY = 1.0
+#: A fit ends where no proportions can raise the log-likelihood by more than this share of the penalty.
+CLOSE = 0.01
+#: What a text's sums of single-precision numbers can be trusted to, as a share of its trigrams.
+EXACT = 1e-6
+UNIT_BYTES = 1 << 20
 UNKNOWN = "und"
 LETTER = r"\p{L}"
 
@@ -58,7 +62,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        for unit in units(batches, "text"):
+        begin_task()
+        for unit in units(batches, "text", UNIT_BYTES):
             grams, offs = trigrams(unit.column("text"))
             names = np.array(unit.column("lang").to_pylist(), object)
             owner = np.repeat(np.arange(len(names)), np.diff(offs))
@@ -81,41 +86,71 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
     return names, np.log(model / model.sum(axis=0))
 
 
-def mixtures(grams: np.ndarray, offs: np.ndarray, log_p: np.ndarray, rounds: int = ROUNDS, penalty: float = PENALTY) -> np.ndarray:
-    """Language proportions of each text, zero outside its selected set."""
+def mixtures(grams: np.ndarray, offs: np.ndarray, log_p: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
+    """Language proportions of each text, zero outside its selected set.
+
+    A text's distinct trigrams are counted first.  The log-likelihood is concave in the proportions, so
+    its value and its steepest slope at any point bound what any proportions can reach.  Rounds of
+    expectation-maximisation over all languages end for a text as soon as that bound shows that no set
+    can pay for its penalty, or that the proportions are as good as the best ones.
+    """
     n, k = len(offs) - 1, log_p.shape[1]
     sizes = np.diff(offs)
     live = np.flatnonzero(sizes > 0)
     out = np.zeros((n, k))
     if not len(live) or not k:
         return out
+    size = sizes[live].astype(np.float64)
+    key, times = np.unique(np.repeat(np.arange(len(live)), sizes[live]) * len(log_p) + grams, return_counts=True)
+    owner, bucket = key // len(log_p), key % len(log_p)
+    times = times.astype(np.float32)
+    starts = np.searchsorted(owner, np.arange(len(live)))
     # scaled so that each trigram's likeliest language has 1: proportions do not depend on it
-    p = np.exp(log_p - log_p.max(axis=1, keepdims=True)).astype(np.float32)[grams]
-    starts, size = offs[live], sizes[live]
-    owner = np.repeat(np.arange(len(live)), size)
-
-    def fitted(allowed: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Proportions and log-likelihood of the texts ``docs`` under their ``allowed`` languages."""
-        mine = np.zeros(len(live), bool)
-        mine[docs] = True
-        rows = p if mine.all() else p[mine[owner]]
-        own = np.repeat(np.arange(len(docs)), size[docs])
-        cut = np.cumsum(size[docs]) - size[docs]
-        w = (allowed / allowed.sum(axis=1, keepdims=True)).astype(np.float32)
-        for _ in range(rounds):
-            part = rows * w[own]
-            part /= part.sum(axis=1, keepdims=True)
-            w = (np.add.reduceat(part, cut, axis=0, dtype=np.float64) / size[docs, None]).astype(np.float32)
-        mix = np.einsum("ij,ij->i", rows, w[own])
-        return w, np.add.reduceat(np.log(np.maximum(mix, 1e-30)), cut, dtype=np.float64)
-
-    single = np.add.reduceat(np.log(p), starts, axis=0, dtype=np.float64)
+    scaled = log_p - log_p.max(axis=1, keepdims=True)
+    p = np.exp(scaled).astype(np.float32)[bucket]
+    cost = penalty * np.log(size + 1.0)
+
+    def fitted(allowed: np.ndarray, docs: np.ndarray, beaten: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Proportions and log-likelihood of the texts ``docs`` under their ``allowed`` languages.
+
+        With ``beaten``, a text also ends once its log-likelihood cannot exceed that much.
+        """
+        weight = allowed / allowed.sum(axis=1, keepdims=True)
+        like = np.full(len(docs), -np.inf)
+        left = np.arange(len(docs))
+        while len(left):
+            mine = np.zeros(len(live), bool)
+            mine[docs[left]] = True
+            some = mine[owner]
+            rows, count = p[some], times[some]
+            own = (np.cumsum(mine) - 1)[owner[some]]
+            cut = np.searchsorted(own, np.arange(len(left)))
+            total, here, fit = size[docs[left]], allowed[left], weight[left]
+            going = np.ones(len(left), bool)
+            # rounds go on until half of these texts have ended; then the others are taken out
+            while going.sum() * 2 > len(left):
+                mix = np.einsum("ij,ij->i", rows, fit.astype(np.float32)[own])
+                np.maximum(mix, 1e-30, out=mix)
+                slope = np.add.reduceat(rows * (count / mix)[:, None], cut, axis=0, dtype=np.float64)
+                now = np.add.reduceat(np.log(mix) * count, cut, dtype=np.float64)
+                gap = np.where(here, slope, 0.0).max(axis=1) - total
+                end = gap <= np.maximum(CLOSE * cost[docs[left]], EXACT * total)
+                if beaten is not None:
+                    end |= now + gap <= beaten[left]
+                end &= going
+                weight[left[end]], like[left[end]] = fit[end], now[end]
+                going &= ~end
+                fit = np.where(going[:, None], fit * slope / total[:, None], fit)
+            weight[left] = fit
+            left = left[going]
+        return weight, like
+
+    single = np.add.reduceat(scaled.astype(np.float32)[bucket] * times[:, None], starts, axis=0, dtype=np.float64)
     best = single.argmax(axis=1)
     allowed = np.zeros((len(live), k), bool)
     allowed[np.arange(len(live)), best] = True
-    weight, like = allowed.astype(np.float32), single.max(axis=1)
-    full, most = fitted(np.ones((len(live), k), bool), np.arange(len(live)))
-    cost = penalty * np.log(size + 1.0)
+    weight, like = allowed.astype(np.float64), single.max(axis=1)
+    full, most = fitted(np.ones((len(live), k), bool), np.arange(len(live)), like + cost)
     open_ = np.flatnonzero(most - like > cost)  # no larger set can pay for itself elsewhere
     for _ in range(k - 1):
         if not len(open_):
@@ -144,7 +179,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = np.array([*names, UNKNOWN], object)
-        for unit in units(batches, "text", 1 << 20):
+        begin_task()
+        for unit in units(batches, "text", UNIT_BYTES):
             grams, offs = trigrams(unit.column("text"))
             w = mixtures(grams, offs, shared.value)
             known = unit.column("letters").to_numpy(zero_copy_only=False).astype(bool) & (w.sum(axis=1) > 0)
