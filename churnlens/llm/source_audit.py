@@ -29,12 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens.llm.common import byte_view, expand, materialised, scratch, units
+from churnlens.llm.repeats import mixed
 
 SCALE = 1_000_000_000
 #: Distinct terms, kept or not, that one fitted vocabulary is dealt (by an estimate); the driver needs some 200 bytes for each kept one.
@@ -43,8 +43,6 @@ SHARD_TERMS = 4_000_000
 UNIT_BYTES = 4 << 20
 #: Registers of the sketch that estimates distinct terms (a power of two; error about 1.6 %).
 REGISTERS = 4096
-#: Terms that a task remembers as known to its sketch.
-REMEMBERED = 400_000
 #: Vector places that a task holds before it merges them, and pairs of a term's groups evaluated at a time.
 CELLS = 4_000_000
 PAIRS = 1 << 19
@@ -62,7 +60,6 @@ def texts_terms(docs: DataFrame, text: str = "text", lang: str = "lang", source:
                        F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()  # terms already in the task's registers, to save time alone
         for unit in units(batches, "text", UNIT_BYTES):
             langs = unit.column("lang").dictionary_encode()
             for k, name in enumerate(langs.dictionary.to_pylist()):
@@ -71,23 +68,26 @@ def texts_terms(docs: DataFrame, text: str = "text", lang: str = "lang", source:
                 coded = words.dictionary_encode()
                 marked = pc.binary_join_element_wise(pa.scalar((name + MARK).encode(), pa.binary()), coded.dictionary, b"")
                 terms = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), marked.take(coded.indices).cast(pa.string()))
-                if len(seen) > REMEMBERED:
-                    seen.clear()
-                new = set(marked.to_numpy(zero_copy_only=False).tolist()).difference(seen)
-                seen |= new
-                registers = pa.array([_registers(new), *[None] * (own.num_rows - 1)], pa.list_(pa.int32()))
+                registers = pa.array([_registers(marked), *[None] * (own.num_rows - 1)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([own.column("lang"), own.column("source"), terms, registers], names=["lang", "source", "terms", "registers"])
 
     return rows.mapInArrow(task, "lang string, source string, terms array<string>, registers array<int>")
 
 
-def _registers(terms: set[bytes]) -> list[int]:
-    """Of a HyperLogLog sketch: the longest run of leading zeros, plus one, of the hashes that fall to each register."""
-    hashes = np.fromiter((xxhash.xxh64_intdigest(t) for t in terms), np.uint64, len(terms))
+def _registers(terms: pa.Array) -> list[int]:
+    """Of a HyperLogLog sketch: the longest run of leading zeros, plus one, of the hashes that fall to each register.
+
+    A term's hash is the sum of its bytes times fixed odd numbers, one for each place, scrambled.
+    """
+    data, offs = byte_view(terms)
+    place = np.arange(len(data)) - np.repeat(offs[:-1], np.diff(offs))
+    factors = mixed(np.arange(1, 1 + (int(place.max()) + 1 if len(place) else 0), dtype=np.uint64)) | np.uint64(1)
     found = np.zeros(REGISTERS, np.int32)
-    rest = (hashes // np.uint64(REGISTERS)).astype(np.float64)
-    zeros = 64 - int(math.log2(REGISTERS)) - np.frexp(rest)[1]
-    np.maximum.at(found, (hashes % np.uint64(REGISTERS)).astype(np.int64), zeros + 1)
+    if len(data):
+        hashes = mixed(np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * factors[place], offs[:-1]))
+        rest = (hashes // np.uint64(REGISTERS)).astype(np.float64)
+        zeros = 64 - int(math.log2(REGISTERS)) - np.frexp(rest)[1]
+        np.maximum.at(found, (hashes % np.uint64(REGISTERS)).astype(np.int64), zeros + 1)
     return found.tolist()
 
 
@@ -146,7 +146,7 @@ def term_table(docs: DataFrame, min_df: int = 3, text: str = "text", lang: str =
     """
     spark = docs.sparkSession
     path = scratch(spark, "terms")
-    written = {"parquet.enable.dictionary": "false", "compression": "zstd"}  # nearly all terms of a file differ
+    written = {"parquet.enable.dictionary": "false", "compression": "snappy"}  # nearly all terms of a file differ
     texts_terms(docs, text, lang, source).write.options(**written).parquet(path)
     rows = spark.read.parquet(path)
     groups = rows.groupBy("lang", "source").agg(F.lit(True).alias("present")).select("lang", "source", F.monotonically_increasing_id().alias("g"))
