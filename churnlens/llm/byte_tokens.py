@@ -14,7 +14,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from churnlens.llm.common import IS_SPACE, byte_view, expand
+from churnlens.llm.common import IS_SPACE, WORKER_CACHES, byte_view, expand
 
 #: Distinct pieces that a worker remembers before it starts anew.
 REMEMBERED = 600_000
@@ -176,6 +176,7 @@ def _special(text: np.ndarray) -> bool:
 
 
 _ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
+WORKER_CACHES.append(_ENCODERS)
 
 
 def piece_encoder(path: str, end_id: int) -> PieceEncoder:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import os
 import uuid
@@ -73,6 +75,20 @@ def byte_view(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[o[0] : o[-1]], o - o[0]
 
 
+#: What workers keep between tasks, by operator.
+WORKER_CACHES: list[dict] = []
+
+
+def begin_task(*keep: dict) -> None:
+    """Called as a task begins: other operators' caches in this worker, and memory that earlier tasks freed, are given back."""
+    for cache in WORKER_CACHES:
+        if not any(cache is k for k in keep):
+            cache.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def units(batches: Iterator[pa.RecordBatch], column: str, limit: int = UNIT_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows again, gathered or cut into batches of about ``limit`` bytes of ``column`` (one row at least)."""
     held: list[pa.RecordBatch] = []

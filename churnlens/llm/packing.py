@@ -30,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import partitions_for, tokenizer_path, units
-from churnlens.llm.tokens import encoder
+from churnlens.llm.common import begin_task, partitions_for, tokenizer_path, units
+from churnlens.llm.tokens import _ENCODERS, encoder
 
 TIERS = (2048, 1024, 512, 256, 128, 64)
 BLOCK_TOKENS = 4 << 20
@@ -145,6 +145,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, doc_id: str = "doc_
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         made = [0, 0]  # sequences and steps so far
+        begin_task(_ENCODERS)
         ids, docs_in, counts = [], [], []
 
         def packed() -> Iterator[pa.RecordBatch]:

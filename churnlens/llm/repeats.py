@@ -14,8 +14,6 @@ documents that share a ``kk`` by chance are told apart by (k1, k2).
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import PARTITION_BYTES, expand, materialised, partitions_for, units
+from churnlens.llm.common import PARTITION_BYTES, begin_task, expand, materialised, partitions_for, units
 
 #: Stands for a null id, so that it sorts before all others.
 NO_ID = -(1 << 62)
@@ -36,13 +34,6 @@ GROWTH = 3.5
 PACKED = "minimiser long, k1 long, k2 long, start long, packed binary"
 
 
-def _given_back() -> None:
-    """Memory that earlier tasks of this worker freed goes back to the system before a task begins."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def keyed(docs: DataFrame, columns: list[str], doc_id: str, text: str) -> DataFrame:
     """(kept, kk, k1, k2, text): a document is known by its id and the hash of its text."""
     rows = docs.select(F.struct(*columns).alias("kept"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("k1"),
@@ -128,7 +119,7 @@ def repeated_minimisers(base: DataFrame, runs_of: Callable) -> DataFrame:
     """(kk, wanted): of each document, the minimisers that occur at two places or more of all texts."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _given_back()
+        begin_task()
         for unit in units(batches, "text", UNIT):
             owner, _, _, least, places, _ = runs_of(unit.column("text"))
             order = np.lexsort((least, owner))
@@ -151,7 +142,7 @@ def exchange(base: DataFrame, runs_of: Callable, judge: Callable) -> DataFrame:
     n = partitions_for(base, "text", PARTITION_BYTES, GROWTH)
 
     def packing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _given_back()
+        begin_task()
         for unit in units(batches, "text", UNIT):
             owner, start, _, least, _, pack = runs_of(unit.column("text"))
             some = np.flatnonzero(np.isin(least, unit.column("wanted").flatten().to_numpy()))
@@ -163,7 +154,7 @@ def exchange(base: DataFrame, runs_of: Callable, judge: Callable) -> DataFrame:
     met = suspects.mapInArrow(packing, PACKED).repartition(n, "minimiser").sortWithinPartitions("minimiser", *judge.order)
 
     def judging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _given_back()
+        begin_task()
         out: list[tuple[int, int, int, int]] = []
         rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("minimiser", "k1", "k2", "start", "packed"))))
         for mark in judge(rows):
@@ -204,7 +195,7 @@ def cut(base: DataFrame, runs: DataFrame, one: Callable, schema: str) -> DataFra
     names = [c.split()[0] for c in schema.split(", ")]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _given_back()
+        begin_task()
         for unit in units(batches, "text", UNIT):
             keys = zip(*(unit.column(c).to_pylist() for c in ("k1", "k2")))
             own = [[r for r in found or () if (r["k1"], r["k2"]) == key] for key, found in zip(keys, unit.column("runs").to_pylist())]

@@ -14,11 +14,11 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from churnlens.llm.common import IS_SPACE, byte_view, expand
+from churnlens.llm.common import IS_SPACE, WORKER_CACHES, byte_view, expand
 
 END_ID = 1
 #: Distinct pieces that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _PUNCT = {*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)}
@@ -138,6 +138,7 @@ class WordEncoder:
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
+WORKER_CACHES.append(_ENCODERS)
 
 
 def encoder(path: str) -> WordEncoder:
