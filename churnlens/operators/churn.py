@@ -84,7 +84,7 @@ class ChurnModel:
             model = PipelineModel.load(f"{path}/pipeline")
             info = json.loads(spark.read.text(f"{path}/info").first()[0])
         except Exception as e:  # noqa: BLE001
-            raise FileNotFoundError(f"no readable churn model at {path}; train and save one first") from e
+            raise FileNotFoundError(f"no readable churn model at {path}; train it first") from e
         return cls(model, info["numeric"], info["categorical"], info["fill"], info["names"], info.get("meta", {}))
 
 
