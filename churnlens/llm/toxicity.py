@@ -15,7 +15,7 @@ class those with the least hash of id and text (equal ones as they come), half o
 rows are weighted by their class's share of all training rows.  Word counts use all of them.
 
 Defined results: null and empty text describe as zeros and get the score of that vector;
-rows without a label never train; with one class only, or none, every score is that class's
+rows without a label never train; of contradicting labels of one id the greatest holds; with one class only, or none, every score is that class's
 rate (0 if none); repeated rows score alike; an empty table gives no rows; labels, language,
 source and id are never inputs of a score; other columns are not read.
 """
@@ -347,6 +347,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     """doc_id, held_out, score, predicted; labels of held-out documents are never read."""
     held = fold(doc_id, 5) == 0
     rows = docs.select(F.col(doc_id).alias("doc_id"), held.alias("held_out"), F.col(text).alias("text"))
-    known = labels.select(F.col(doc_id).alias("doc_id"), "toxic").where(~(fold("doc_id", 5) == 0)).where("toxic IN (0, 1)").dropDuplicates(["doc_id"])
-    model = train(rows.where(~F.col("held_out")).join(known, "doc_id").where("text IS NOT NULL"))
+    known = labels.select(F.col(doc_id).alias("doc_id"), "toxic").where(~(fold("doc_id", 5) == 0)).where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # labels grow with the documents: both sides are shuffled at every size
+    model = train(rows.where(~F.col("held_out") & F.col("text").isNotNull()).select("doc_id", "text").join(known.hint("merge"), "doc_id"))
     return score(rows, model).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
