@@ -552,6 +552,13 @@ SELECT customer_id, tenure, contract, monthly_charges, internet_service, churn,
        churn_probability {LISTING} AND customer_id > 'Customer#000000700' ORDER BY customer_id LIMIT 20""")
 
 
+ORACLE["Q14_page_directory"] = with_dash("""
+SELECT customer_id, tenure, contract, monthly_charges, internet_service, churn, risk_level, persona_name, cluster_id,
+       churn_probability FROM dash ORDER BY customer_id LIMIT 20 OFFSET 780""")
+ORACLE["Q9_search_index"] = ORACLE["Q9_search_customers"]
+ORACLE["Q13_search_index"] = ORACLE["Q13_filter_persona"]
+
+
 # --- evaluation on labelled documents ------------------------------------------------
 DOC_SCORED = """scored AS (
   SELECT l.doc_id, l.quality AS label, CAST(d.n_chars AS DOUBLE) / (d.n_chars + CAST(1000 AS DOUBLE)) AS score,

@@ -19,9 +19,11 @@ from churnlens.operators import churn as M
 from churnlens.operators import dashboard as Q
 from churnlens.operators import features as Fe
 from churnlens.operators import metrics as E
+from churnlens.operators import paging
 from churnlens.operators import personas as P
 from churnlens.operators import quality as V
 from churnlens.operators import scoring as R
+from churnlens.operators import search_index
 from churnlens.operators import segments as K
 from churnlens.plans import training as T
 from churnlens.plans.bundle import Bundle
@@ -596,6 +598,35 @@ def q14_after(spark, sf_dir):
     return Q.list_customers_after(dashboard_scored(spark, sf_dir), "Customer#000000700", 20, **LISTING_FILTERS)
 
 
+def written_listing(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The scored listing written in its order, and a folder for its directory and indexes."""
+    base = shared_path(spark, spark.sparkContext.applicationId, f"listing-{uuid.uuid4().hex[:12]}")
+    return spark.read.parquet(paging.write_listing(dashboard_scored(spark, sf_dir), f"{base}/rows")), base
+
+
+@register("Q14_page_directory")
+def q14_directory(spark, sf_dir):
+    """A deep page through the sparse rank index of the written listing."""
+    listing, base = written_listing(spark, sf_dir)
+    directory = spark.read.parquet(paging.write_directory(listing, f"{base}/directory", every=100))
+    return paging.page_at(listing, directory, page=40, page_size=20)
+
+
+@register("Q9_search_index")
+def q9_index(spark, sf_dir):
+    """Ids found through the n-gram index of the written listing."""
+    listing, base = written_listing(spark, sf_dir)
+    return search_index.search(listing, search_index.write_index(listing, f"{base}/ids"), SEARCH_TEXT).select("customer_id")
+
+
+@register("Q13_search_index")
+def q13_index(spark, sf_dir):
+    """Persona names found through the n-gram index of the written listing."""
+    listing, base = written_listing(spark, sf_dir)
+    index = search_index.write_index(listing, f"{base}/personas", "persona_name")
+    return search_index.search(listing, index, "steady|loyal", "persona_name").select("customer_id", "persona_name")
+
+
 # --- evaluation on labelled documents (quality label, length-based score) ---------------
 def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """labels joined to documents: label = quality, score = n_chars / (n_chars + 1000), class score > 0.5."""
