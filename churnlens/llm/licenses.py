@@ -16,7 +16,9 @@ likeliest family whose telling phrases are there, whose excluding phrases (lesse
 noncommercial, sharealike, ...) are not, and with which most of the words, or of those of one of its
 templates, are shared.
 
-Scoring is done once, inside each document's row, with SQL functions; text is not shuffled.
+Scoring is done once, inside each document's row, with SQL functions; text is not shuffled.  Weights
+are rounded to whole steps of a fine power of two, so that one number sums three classes exactly; a
+joined piece's classes are summed only if its lines' greatest odds leave it a chance of even odds.
 
 Defined results: null or blank text has no paragraphs and no families; repeated rows get equal
 results; a paragraph counts as confirmed if any piece of it is, as unconfirmed if pieces were predicted
@@ -134,6 +136,10 @@ PART_WORDS = (7, 10, 14, 20, 30)
 LINES = 3
 STEPS = 16
 FIT_DOCS = 2_000
+#: Bits of one class's sum in a number that holds three, half its range, and how many weights are summed before they are parted.
+LANE = 21
+HALF = 1 << (LANE - 1)
+SLICE = 256
 CONFIRM = 0.6
 FAMILIES = [*sorted(TEMPLATES), UNKNOWN]
 BREAK = r"\n[^\p{L}\p{N}]*\n"
@@ -209,27 +215,53 @@ def train(docs: DataFrame, fit_docs: int = FIT_DOCS) -> dict:
             "shift": [float(shift[i]) if i < len(shift) else -50.0 for i in range(k)]}
 
 
+def packed_weights(weights: list[list[float]]) -> tuple[int, np.ndarray]:
+    """(steps, rows): weights in whole numbers of 1/steps, those of three classes in each row's numbers.
+
+    A sum of at most ``SLICE`` of them keeps the three sums apart: each is below ``HALF``.
+    """
+    w = np.array(weights, np.float64)
+    steps = 1 << max(int(np.floor(np.log2((HALF - SLICE) / (SLICE * max(np.abs(w).max(), 1e-3))))), 0)
+    whole = np.round(w * steps).astype(np.int64)
+    whole = np.concatenate([whole, np.zeros((-len(whole) % 3, whole.shape[1]), np.int64)])
+    return steps, whole[0::3] + (whole[1::3] << LANE) + (whole[2::3] << 2 * LANE)
+
+
+def _slices(g: Column) -> Column:
+    """The numbers of a line in arrays of ``SLICE`` at most."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(g) - 1) / SLICE).cast("int")), lambda j: F.slice(g, j * SLICE + 1, F.lit(SLICE)))
+
+
 def scored(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, n_paragraphs, n_pieces, found: of each piece with even odds its paragraph, log odds, family (null: not confirmed) and whether it is unlike all templates."""
     k = len(FAMILIES) - 1
-    weights = [F.lit(np.array(w, dtype=np.float64)) for w in model["weights"]]
     paragraphs = F.transform(F.split("text", BREAK, -1), lambda p: F.filter(F.transform(F.split(p, "\n", -1), _words), lambda w: F.size(w) > 0))
     d = docs.select("doc_id", F.filter(paragraphs, lambda p: F.size(p) > 0).alias("ps"))
     d = d.select("doc_id", F.size("ps").cast("long").alias("n_paragraphs"), F.expr(f"transform(ps, p -> transform(p, w -> struct(w AS w, {_grams('w')} AS g)))").alias("ps"))
 
-    def total_weight(g: Column, w: Column) -> Column:
-        return F.aggregate(g, F.lit(0.0), lambda a, i: a + F.get(w, i))
-
-    def sums(g: Column) -> Column:
-        return F.array(*[total_weight(g, w) for w in weights])
-
-    d = d.select("doc_id", "n_paragraphs", F.transform("ps", lambda p: F.transform(p, lambda x: F.struct(x["w"].alias("w"), sums(x["g"]).alias("z")))).alias("ps"))
+    steps, packed = packed_weights(model["weights"])
+    lanes = [F.lit(row) for row in packed]
+
+    def fold(g: Column, w: Column) -> Column:
+        return F.aggregate(g, F.lit(0).cast("long"), lambda a, i: a + F.get(w, i))
+
+    d = d.select("doc_id", "n_paragraphs", F.transform("ps", lambda p: F.transform(p, lambda x: F.struct(
+        x["w"].alias("w"), F.transform(_slices(x["g"]), lambda g: F.array(*[fold(g, w) for w in lanes])).alias("t")))).alias("ps"))
+    low = f"((v + {HALF}L) & {2 * HALF - 1}L) - {HALF}L"
+    up = f"shiftright(v + {HALF}L, {LANE})"
+    each = f"flatten(transform(t, v -> array({low}, {low.replace('v', f'({up})')}, {up.replace('v', f'({up})', 1)})))"
+    d = d.select("doc_id", "n_paragraphs", F.expr(
+        f"transform(ps, p -> transform(p, x -> struct(x.w AS w, transform(aggregate(x.t, array_repeat(0L, {3 * len(lanes)}), (a, t) -> zip_with(a, {each}, (x, y) -> x + y)), v -> v / {float(steps)!r}D) AS z)))").alias("ps"))
+    # no family's log odds against unknown in a joined piece exceed the sum of its lines' greatest ones: m
+    d = d.select("doc_id", "n_paragraphs", F.expr(f"transform(ps, p -> transform(p, x -> struct(x.w AS w, x.z AS z, array_max(slice(x.z, 1, {k})) - x.z[{k}] AS m)))").alias("ps"))
+    least = -float(np.log(k)) - max(a - model["shift"][k] for a in model["shift"][:k]) - 1e-6
     # pieces as (first line, lines): neighbouring lines, then the whole paragraph where it is longer
     spans = "concat(" + ", ".join(f"if(size(p) < {n}, array(), transform(sequence(1, size(p) - {n} + 1), i -> struct(i AS i, {n} AS n)))" for n in range(1, LINES + 1))
     spans += f", if(size(p) > {LINES}, array(struct(1 AS i, size(p) AS n)), array()))"
     total = f"aggregate(slice(p, s.i, s.n), {_literal(model['shift'])}, (a, l) -> zip_with(a, l.z, (x, y) -> x + y))"
     # log of the families' summed odds against unknown; the greatest alone tells whether they can be even
     odds = f"aggregate(slice(z, 1, {k}), 0D, (a, y) -> a + exp(greatest(least(y - z[{k}], 690D), -690D)))"
+    spans = f"filter({spans}, s -> aggregate(slice(p, s.i, s.n), 0D, (a, l) -> a + l.m) >= {least!r}D)"
     pieces = (f"transform(filter(transform({spans}, s -> struct(s AS s, {total} AS z)), v -> array_max(slice(v.z, 1, {k})) + {float(np.log(k))!r}D >= v.z[{k}]), "
               f"v -> struct(flatten(transform(slice(p, v.s.i, v.s.n), l -> l.w)) AS w, v.z AS z, ln({odds.replace('z[', 'v.z[').replace('slice(z', 'slice(v.z')}) AS t))")
     n_pieces = f"aggregate(ps, 0L, (a, p) -> a + " + " + ".join(f"greatest(size(p) - {n - 1}, 0)" for n in range(1, LINES + 1)) + f" + if(size(p) > {LINES}, 1, 0))"
