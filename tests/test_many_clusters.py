@@ -30,3 +30,27 @@ def test_label_domain(spark):
     assert Fe.class_counts(df, "churn") == [(0, 1), (1, 2)]
     with pytest.raises(ValueError, match="other than 0 and 1"):
         Fe.class_counts(df.selectExpr("id", "id AS churn"), "churn")
+
+
+def test_starts_keep_their_own_points(spark, monkeypatch):
+    """MLlib keeps a start's points itself only where the matrix it is given is not persisted; few starts run at once on many partitions."""
+    r = random.Random(5)
+    rows = [(i, float(r.choice([0, 5, 9])) + r.random(), r.random(), r.choice("ab"), i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "customer_id long, x double, y double, c string, churn int")
+    running, most, levels, fit = [0], [0], [], K._fit_one
+
+    def watched(vectors, *args):
+        levels.append((vectors.storageLevel.useMemory, vectors.storageLevel.useDisk))
+        running[0] += 1
+        most[0] = max(most[0], running[0])
+        try:
+            return fit(vectors, *args)
+        finally:
+            running[0] -= 1
+
+    monkeypatch.setattr(K, "_fit_one", watched)
+    slots = spark.sparkContext.defaultParallelism
+    model, table = K.train_segments(df, k=3, search=(2, 3), n_init=3, numeric=["x", "y"], categorical=["c"], n_partitions=2 * slots)
+    assert levels == [(False, False)] * 6 and most[0] <= 2
+    assert model.k == 3 and table.count() == 2
+    assert [K.starts_at_once(n, 12) for n in (1, 2, 6, 12, 1000)] == [16, 12, 4, 2, 2]
