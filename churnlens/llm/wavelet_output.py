@@ -31,10 +31,42 @@ from churnlens.llm.tokens import encoder
 
 SHARD_TOKENS = 1 << 20
 RANK_BLOCK = 4096
+#: Ids that a plane's partition takes at a time, so that the places of its bits stay in the processor's cache.
+CHUNK = 1 << 15
 SHARD = "part int, seq int, n_tokens long, doc_ids array<long>, doc_tokens array<int>, zeros array<long>, planes array<binary>, ranks array<binary>"
 DECODED = "part int, seq int, doc_id long, local_start long, n_tokens long, ids binary"
 
 
+def _places(bit: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(chunk, places of its zeros, places of its ones), chunk by chunk; places are faster than masks, whose bits no processor foresees."""
+    for at in range(0, len(bit), CHUNK):
+        own = bit[at : at + CHUNK]
+        yield slice(at, at + CHUNK), np.flatnonzero(~own), np.flatnonzero(own)
+
+
+def _parted(now: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, int]:
+    """(ids whose bit is 0 and then the others, in their order; number of the first)."""
+    zeros = len(bit) - int(np.count_nonzero(bit))
+    out, low, high = np.empty_like(now), 0, zeros
+    for chunk, off, on in _places(bit):
+        own = now[chunk]
+        out[low : low + len(off)] = own[off]
+        out[high : high + len(on)] = own[on]
+        low, high = low + len(off), high + len(on)
+    return out, zeros
+
+
+def _joined(now: np.ndarray, bit: np.ndarray, zeros: int, value: np.integer) -> np.ndarray:
+    """The ids in their order before ``_parted``, ``value`` added where the bit is 1."""
+    out, low, high = np.empty_like(now), 0, zeros
+    for chunk, off, on in _places(bit):
+        own = out[chunk]
+        own[off] = now[low : low + len(off)]
+        own[on] = now[high : high + len(on)] | value
+        low, high = low + len(off), high + len(on)
+    return out
+
+
 class WaveletMatrix:
     """Bit planes of a sequence of ids, with rank and select."""
 
@@ -47,12 +79,12 @@ class WaveletMatrix:
         now, zeros, planes, ranks = ids, [], [], []
         for b in reversed(range(width)):
             bit = (now & ids.dtype.type(1 << b)) != 0
-            low = now[~bit]
-            zeros.append(len(low))
-            planes.append(np.packbits(bit).tobytes())
-            ones = np.add.reduceat(bit, np.arange(0, len(bit), RANK_BLOCK), dtype=np.int64) if len(bit) else np.zeros(0, np.int64)
+            plane = np.packbits(bit)
+            planes.append(plane.tobytes())
+            ones = np.add.reduceat(np.bitwise_count(plane), np.arange(0, len(plane), RANK_BLOCK // 8), dtype=np.int64) if len(bit) else np.zeros(0, np.int64)
             ranks.append((np.cumsum(ones) - ones).astype("<u4").tobytes())
-            now = np.concatenate([low, now[bit]])
+            now, low = _parted(now, bit)
+            zeros.append(low)
         return cls(len(ids), zeros, planes, ranks)
 
     def _ones(self, plane: int, at: int) -> int:
@@ -112,10 +144,7 @@ class WaveletMatrix:
         now = np.zeros(self.length, dtype)
         for b, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros))):
             bit = np.unpackbits(np.frombuffer(plane, np.uint8), count=self.length).view(bool)
-            above = np.empty_like(now)
-            above[~bit] = now[:zeros]
-            above[bit] = now[zeros:] | dtype(1 << b)
-            now = above
+            now = _joined(now, bit, zeros, dtype(1 << b))
         return now
 
 
@@ -169,8 +198,8 @@ def read_documents_back(spark: SparkSession, out: str) -> DataFrame:
                 ids = _matrix(row).decode().astype("<u4")
                 n = np.array(row["doc_tokens"], dtype=np.int64)
                 ends = np.cumsum(n)
-                raw = [ids[b - k : b].tobytes() for b, k in zip(ends.tolist(), n.tolist())]
-                columns = [np.full(len(n), row["part"], np.int32), np.full(len(n), row["seq"], np.int32), pa.array(row["doc_ids"], pa.int64()), ends - n, n, pa.array(raw, pa.binary())]
+                raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((4 * np.append(0, ends)).astype(np.int32)), pa.py_buffer(ids)])
+                columns = [np.full(len(n), row["part"], np.int32), np.full(len(n), row["seq"], np.int32), pa.array(row["doc_ids"], pa.int64()), ends - n, n, raw]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[f.split()[0] for f in DECODED.split(", ")])
 
     table = shards(spark, out)
